@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from corvine.llm.labelled import held_out, sample_ids, training_labels
 
 #: Bound of the training sample: documents of either class.
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 TABLE_BITS = 18
 BLOCK = 32
 THRESHOLD = 0.7
 #: Documents are tagged in groups of about so many bytes, which bounds a task's memory
 #: (a single longer text is tagged alone).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("'")]] = True
@@ -188,7 +188,7 @@ class ToxicityModel:
     base_rate: float
 
     def marginals(self, idx: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        d = self.table[idx].sum(0) + self.bias
+        d = sum(self.table[i] for i in idx) + self.bias
         return forward_backward(np.exp(np.clip(d, -15, 15)), counts, self.trans)[0]
 
     def score(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -214,10 +214,9 @@ def aggregates(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def toxic_words(words: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sorted hashes of words with many more toxic than clean documents: the lower bound
     of the log odds, smoothed, above log 8."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    key = np.unique(np.stack([words, doc.astype(np.uint64)], 1), axis=0)
-    vocab, inv = np.unique(key[:, 0], return_inverse=True)
-    hit = y[key[:, 1].astype(np.int64)]
+    of = [np.unique(w) for w in np.split(words, np.cumsum(counts)[:-1])]
+    vocab, inv = np.unique(np.concatenate(of), return_inverse=True)
+    hit = np.repeat(y, [len(w) for w in of])
     pos = np.bincount(inv, hit, len(vocab))
     neg = np.bincount(inv, 1 - hit, len(vocab))
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
@@ -247,8 +246,10 @@ def train(texts: list[str], y: np.ndarray, fold: np.ndarray, rate: float, rounds
     none = ToxicityModel(np.zeros(1, np.float32), 0.0, np.zeros((2, 2)), np.zeros(4), rate)
     if not len(y) or y.min() == y.max():
         return none
-    raw = [_lower(t) for t in texts]
-    idx, words, counts, _, _ = featurize(raw)
+    # Group by group: featurizing needs some 40 bytes for each byte of text.
+    parts = [featurize([_lower(t) for t in texts[i:j]])[:3] for i, j in _groups(texts)]
+    idx, words, counts = np.concatenate([x[0] for x in parts], 1), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+    del parts
     owner = np.repeat(np.arange(len(y)), counts)
     if not len(words):
         return none
@@ -271,8 +272,8 @@ def train(texts: list[str], y: np.ndarray, fold: np.ndarray, rate: float, rounds
     known[feats[:, tags > 0].ravel()] = True
     gt, ga, gb = np.full(size, 1e-6), np.full((2, 2), 1e-6), 1e-6
     for _ in range(rounds):
-        d = np.clip(theta[feats].sum(0) + bias, -15, 15)
-        p, pair = forward_backward(np.exp(d), ci, trans)
+        d = sum(theta[feats[k]] for k in range(KINDS)) + bias
+        p, pair = forward_backward(np.exp(np.clip(d, -15, 15)), ci, trans)
         miss = tags - p
         g = sum(np.bincount(feats[k], miss, size) for k in range(KINDS))
         g = np.where(known, g - 0.1 * theta, 0)
