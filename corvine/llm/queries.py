@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, bpe, mixing, quality_gam, quality_rules, secret_scan, toxicity, warc
+from corvine.llm import ann, bpe, mixing, ngram_join, quality_gam, quality_rules, secret_scan, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(docs).drop("text")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rp_forest_ann, op2_crf_toxicity, op3_byte_bpe, op4_secret_scan, op5_pareto_mix, op6_quality_gam, op7_arc_to_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_rp_forest_ann, op2_crf_toxicity, op3_byte_bpe, op4_secret_scan, op5_pareto_mix, op6_quality_gam, op7_arc_to_warc, op9_quality_rules, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
