@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, bpe, mixing, ngram_join, quality_gam, quality_rules, secret_scan, toxicity, warc
+from corvine.llm import ann, bpe, line_dedup, mixing, ngram_join, quality_gam, quality_rules, secret_scan, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return docs.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), digest.alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge_quality(docs).drop("text")
@@ -55,8 +61,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rp_forest_ann, op2_crf_toxicity, op3_byte_bpe, op4_secret_scan, op5_pareto_mix, op6_quality_gam, op7_arc_to_warc, op9_quality_rules, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_rp_forest_ann, op2_crf_toxicity, op3_byte_bpe, op4_secret_scan, op5_pareto_mix, op6_quality_gam, op7_arc_to_warc, op8_line_dedup, op9_quality_rules, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.SQL}
