@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,24 +110,32 @@ def decode_documents(encoded: DataFrame, ranks_path: str | None = None, pattern:
     return encoded.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
 
 
-def token_digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def token_digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encode, decode the
-    ids again and digest both, batch by batch, without carrying the ids through the plan.
+    ids again and digest both, batch by batch; the ids are returned only if asked for.
+    Null and empty texts have no tokens; repeated rows are encoded one by one.
     """
     path, pat = default_vocabulary()
     path, pat = ranks_path or path, pattern or pat
+    names_out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pat)
         names = bpe.names
         for b in batches:
-            n, one, two = [], [], []
+            n, one, two, every = [], [], [], []
             for x in b.column("text"):
                 ids = bpe.encode(x.as_py())
                 n.append(len(ids))
                 one.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                 two.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    every.append(pa.array(ids, pa.int32()))
+            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+            if with_ids:
+                ends = pa.array(list(itertools.accumulate(n, initial=0)), pa.int32())
+                cols.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(every) if every else pa.array([], pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=names_out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)

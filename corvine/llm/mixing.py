@@ -53,6 +53,10 @@ def pareto_key(u: Column, pi: Column) -> Column:
     return u * (1 - pi) / (u * (1 - pi) + pi * (1 - u))
 
 
+def _tie(seed: int, text: str) -> Column:
+    return F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col(text))
+
+
 def _cut(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """rows: g, size, key (0..1); goals: g, goal (words). Adds ``in``: the rows of least
     key of each g whose sizes come nearest to its goal.
@@ -88,7 +92,8 @@ def _cut(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every row.
+    """doc_id, tie (a hash of id and text), source, size, source_size, target, copies,
+    taken of every row.
 
     A null text has size 0 and is never taken. A null source is a source, the last. Rows
     that repeat a doc_id draw by their text too; rows that repeat both share one draw, so
@@ -103,7 +108,7 @@ def plan_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEI
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         # 52 bits, never 0 or 1
         ((F.shiftrightunsigned(u, 12).cast("double") + 0.5) / F.lit(float(1 << 52))).alias("u"),
-        F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col(text)).alias("tie"),
+        _tie(seed, text).alias("tie"),
     )
     narrow = materialize(narrow, "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -122,7 +127,7 @@ def plan_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEI
     big = big.withColumn("key", pareto_key(F.col("u"), F.col("pi")))
     big = big.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("goal", F.sum("size").over(Window.partitionBy("source")) * F.col("pi"))
     big = big.withColumn("in", F.col("upto") - F.col("goal") < F.col("goal") - F.col("upto") + F.col("size"))
-    big = materialize(big.select("doc_id", "source", "size", "source_size", "target", "whole", "in"), "large")
+    big = materialize(big.select("doc_id", "tie", "source", "size", "source_size", "target", "whole", "in"), "large")
     # The others fill what the certain copies and the large ones leave.
     had = big.groupBy("source").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("had")).withColumnRenamed("source", "of")
     small = rows.where(drawn & ~F.col("large"))
@@ -136,7 +141,19 @@ def plan_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEI
     p = goals.select(F.col("g").alias("of"), F.least(F.greatest(F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0), F.lit(1e-12)), F.lit(1 - 1e-12)).alias("p"))
     small = small.join(p, small["source"].eqNullSafe(p["of"])).withColumn("key", pareto_key(F.col("u"), F.col("p"))).withColumnRenamed("source", "g")
     small = _cut(small.select("doc_id", "g", "size", "source_size", "target", "whole", "key", "tie"), goals).withColumnRenamed("g", "source")
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "in"]
+    cols = ["doc_id", "tie", "source", "size", "source_size", "target", "whole", "in"]
     every = still.select(cols).unionByName(big.select(cols)).unionByName(small.select(cols))
     copies = (F.col("whole") + F.col("in").cast("long")).cast("long")
-    return every.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return every.select("doc_id", "tie", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as it is taken, its columns
+    unchanged. Rows that repeat both doc_id and text are taken alike."""
+    plan = plan_mix(docs, "text", weights, seed).where(F.col("copies") > 0)
+    # One row for each id and text, whatever repeats; the draw depends on these alone.
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.max("copies").alias("_copies"))
+    plan = materialize(plan, "copies")
+    rows = docs.withColumn("_own", _tie(seed, "text"))
+    out = rows.join(plan, (F.col("_own") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
