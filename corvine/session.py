@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,6 +60,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """The size of the files of a materialized table."""
+    spark, total = df.sparkSession, 0
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        total += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return total
+
+
+def small_side(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """A materialized table as one side of a join: broadcast if its files take at most
+    ``limit`` bytes, or else left to a shuffled join."""
+    return F.broadcast(df) if table_bytes(df) <= limit else df
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
