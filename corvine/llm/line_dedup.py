@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.session import materialize
+from corvine.session import materialize, small_side
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -70,10 +70,10 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     shared = materialize(shared, "fingerprints")
     each = windows.select("doc", "of", "at", "h", F.explode("all").alias("x"))
     each = each.select("doc", "of", F.get("h", F.col("x.p")).alias("f"), F.col("x.start").alias("start"), F.col("x.id").alias("id"), F.col("x.id2").alias("id2"), F.transform(F.sequence(F.col("x.start"), F.col("x.start") + F.col("x.size") - 1), lambda i: F.get("at", i)).alias("places"))
-    each = materialize(each.join(shared, "f", "left_semi").drop("f"), "candidates")
+    each = materialize(each.join(small_side(shared), "f", "left_semi").drop("f"), "candidates")
     first = each.groupBy("id", "id2").agg(F.min(F.struct("doc", "of", "start")).alias("first"), F.max(F.struct("doc", "of", "start")).alias("last")).where(F.col("first") != F.col("last"))
     first = materialize(first.select("id", "id2", "first"), "first")
-    later = each.join(first, ["id", "id2"]).where(F.struct("doc", "of", "start") > F.col("first"))
+    later = each.join(small_side(first), ["id", "id2"]).where(F.struct("doc", "of", "start") > F.col("first"))
     # As many places as a document has lines, each at most once for each window of it.
     gone = later.select("doc", "of", F.explode("places").alias("place")).groupBy("doc", "of").agg(F.array_sort(F.collect_set("place")).alias("gone"))
     return materialize(gone, "gone")
@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """
     gone = repeated_lines(docs.select("doc_id", "text"), min_lines, min_words)
     base = docs.drop("n_lines", "n_removed").withColumns({"_doc": _order(), "_of": F.xxhash64("text")})
-    out = base.join(gone.select(F.col("doc").alias("_doc"), F.col("of").alias("_of"), F.col("gone").alias("_gone")), ["_doc", "_of"], "left")
+    out = base.join(small_side(gone).select(F.col("doc").alias("_doc"), F.col("of").alias("_of"), F.col("gone").alias("_gone")), ["_doc", "_of"], "left")
     lines = F.split("text", "\n")
     out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
