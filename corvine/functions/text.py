@@ -63,10 +63,15 @@ def title_key(c: str | Column) -> Column:
 
 
 def grams(c: str | Column, n: int) -> Column:
-    """All n-grams of code points, in order; none if the text is shorter."""
-    s = _col(c)
-    last = F.length(s) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of code points, in order; none if the text is shorter.
+
+    The text is cut into code points once, as the only item of an outer array, so that
+    the inner lambda reads places of a finished array and not of a string.
+    """
+    one = F.array(F.regexp_extract_all(_col(c), F.lit("(?s)."), F.lit(0)))
+    none = F.array().cast("array<string>")
+    whole = lambda x: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat(*[F.get(x, i + j) for j in range(n)]))).otherwise(none)
+    return F.get(F.transform(one, whole), F.lit(0))
 
 
 def tokens(normal: str | Column) -> Column:
