@@ -29,9 +29,8 @@ from corvine.session import materialize
 SKETCH_BITS = 18
 #: Cells of the suffix filter's histograms.
 HIST_BITS = 6
-SMALL = 48
-#: The same in later rounds, where the positional filter leaves few pairs of a bucket.
-SMALL_DIFFERENCES = 2000
+#: Buckets of up to so many members are joined pairwise, under the positional filter.
+SMALL = 2000
 #: Ids are broadcast up to so many (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
@@ -372,7 +371,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, share: tuple[int, int] = (90
     join = _Join(usable, nodes.drop("tokens"), n, share)
     todo = join.compare(materialize(shingles, "buckets"), SMALL)
     while todo is not None:
-        todo = join.compare(todo, SMALL_DIFFERENCES)
+        todo = join.compare(todo, SMALL)
     # Rows that repeat a doc_id tie what their texts link.
     repeated = mine.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.count_distinct("set").alias("k")).where(F.col("k") > 1)
     if repeated.limit(1).count():
