@@ -48,7 +48,7 @@ class Lake:
             yield
 
     def _read(self, path: Path) -> DataFrame:
-        return self.spark.read.parquet(path.as_uri())
+        return self.spark.read.parquet(_uri(path))
 
     def verify(self, folder: Path) -> dict:
         """The manifest, if the folder holds exactly its tables with their digests."""
@@ -96,12 +96,12 @@ class Lake:
         if todo:
             name = F.create_map(*[F.lit(v) for k in todo for v in (k, names[k])])
             rows = b.where(F.col("bucket").isin(todo)).withColumn("shard", name[F.col("bucket")]).drop("bucket")
-            rows.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet((self.root / "shards").as_uri())
+            rows.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(_uri(self.root / "shards"))
             for x in todo:
                 (self.root / "shards" / f"shard={names[x]}" / "done").touch()
         if not names:
             return flagged, 0, 0
-        paths = [(self.root / "shards" / f"shard={n}").as_uri() for n in names.values()]
+        paths = [_uri(self.root / "shards" / f"shard={n}") for n in names.values()]
         return self.spark.read.schema(flagged.schema).parquet(*paths), len(names) - len(todo), len(todo)
 
     def publish(self, records: DataFrame, parent: str | None = None) -> dict:
@@ -131,7 +131,7 @@ class Lake:
             good = quality.accepted(rows)
             tables = {"documents": quality.exact_dedup(good), "lineage": quality.lineage(good), "quarantine": quality.quarantined(rows), "input_hashes": rows.select("record_hash")}
             for name, df in tables.items():
-                df.write.mode("overwrite").option("compression", "zstd").parquet((stage / name).as_uri())
+                df.write.mode("overwrite").option("compression", "zstd").parquet(_uri(stage / name))
             counts = quality.manifest_counts(rows).first().asDict()
             atomic_json(stage / "manifest.json", {"version": version, "identity": identity, "counts": counts, "tables": {n: table_digest(self._read(stage / n)) for n in TABLES}})
             self.verify(stage)
@@ -140,5 +140,9 @@ class Lake:
         return {"version": version, "reused_snapshot": False, "resumed_shards": resumed, "processed_shards": processed}
 
 
+def _uri(path: Path) -> str:
+    return f"file://{path}"  # as_uri() would escape the signs of partition names
+
+
 def _version(identity: dict) -> str:
     return hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:24]

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvine.plans.lake import Lake
 from corvine.sources.records import atomic_json
@@ -24,9 +25,12 @@ def ingest(spark: SparkSession, source: str, lake: Lake, checkpoint: str):
         entry = chain / f"{epoch:012d}.json"
         before = sorted(p for p in chain.glob("*.json") if p.name < entry.name)
         parent = json.loads(before[-1].read_text()) if before else None
-        rows = batch if parent is None else batch.unionByName(spark.read.json((chain / "rows").as_uri(), schema=batch.schema))
+        rows = batch
+        if parent is not None:
+            held = spark.read.schema(batch.schema).json(f"file://{chain}/rows")
+            rows = batch.unionByName(held.where(F.col("epoch") < epoch).select(batch.columns))
         version = lake.publish(rows, parent)["version"]
-        batch.write.mode("overwrite").json((chain / "rows" / f"epoch={epoch}").as_uri())
+        batch.write.mode("overwrite").json(f"file://{chain}/rows/epoch={epoch}")
         atomic_json(entry, version)
         got.append(version)
 
