@@ -121,17 +121,35 @@ def plan_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEI
     rows = rows.withColumns({"whole": whole, "pi": F.greatest(expected - whole, F.lit(0.0)), "large": F.col("size") * 100 > F.col("source_size")})
     drawn = F.col("pi") > 0
     still = rows.where(~drawn).withColumn("in", F.lit(False))
-    # Large documents: at most 100 of a source, ranked in one window each.
-    big = rows.where(drawn & F.col("large"))
-    w = Window.partitionBy("source").orderBy("key", "tie", "size")
-    big = big.withColumn("key", pareto_key(F.col("u"), F.col("pi")))
-    big = big.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("goal", F.sum("size").over(Window.partitionBy("source")) * F.col("pi"))
-    big = big.withColumn("in", F.col("upto") - F.col("goal") < F.col("goal") - F.col("upto") + F.col("size"))
-    big = materialize(big.select("doc_id", "tie", "source", "size", "source_size", "target", "whole", "in"), "large")
+    # Large documents: fewer than 100 of a source by definition, gathered in one row. In
+    # the order of their ranks each is taken if it still fits their share of the target;
+    # one that doesn't is passed over, as it alone would miss the target by so much.
+    small = rows.where(drawn & ~F.col("large"))
+    have = materialize(small.groupBy("source", "source_size", "target", "whole").agg(F.sum("size").alias("have")), "have")
+    big = rows.where(drawn & F.col("large")).withColumn("key", pareto_key(F.col("u"), F.col("pi")))
+    ranked = big.groupBy("source", "source_size", "target", "whole").agg(
+        F.array_sort(F.collect_list(F.struct("key", "tie", "size", "doc_id"))).alias("all"), (F.sum("size") * F.max("pi")).alias("goal")
+    )
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<boolean>").alias("in"))
+    fits = lambda acc, x: acc["words"] + x["size"] <= F.col("goal")
+    chosen = F.aggregate(
+        "all",
+        start,
+        lambda acc, x: F.struct(F.when(fits(acc, x), acc["words"] + x["size"]).otherwise(acc["words"]).alias("words"), F.concat(acc["in"], F.array(fits(acc, x))).alias("in")),
+        lambda acc: acc["in"],
+    )
+    ranked = ranked.join(have.select(F.col("source").alias("of"), "have"), ranked["source"].eqNullSafe(F.col("of")), "left").withColumn("in", chosen)
+    # Where the small documents can't fill the rest, the one document that comes nearest.
+    had = F.aggregate(F.zip_with("all", "in", lambda x, i: F.when(i, x["size"]).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    ranked = ranked.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size") - had - F.coalesce("have", F.lit(0)))
+    off = F.transform("all", lambda x, i: F.struct(F.abs(x["size"] - F.col("lack")).alias("off"), i.alias("i"), F.get("in", i).alias("in")))
+    ranked = ranked.withColumn("next", F.array_min(F.filter(off, lambda x: ~x["in"])))
+    more = F.when(F.col("next.off") < F.col("lack"), F.col("next.i")).otherwise(-1)
+    chosen = F.transform("in", lambda x, i: x | (i == more))
+    big = ranked.select("source", "source_size", "target", "whole", F.explode(F.arrays_zip(F.col("all").alias("x"), chosen.alias("in"))).alias("z"))
+    big = materialize(big.select("z.x.doc_id", "z.x.tie", "source", "z.x.size", "source_size", "target", "whole", "z.in"), "large")
     # The others fill what the certain copies and the large ones leave.
     had = big.groupBy("source").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("had")).withColumnRenamed("source", "of")
-    small = rows.where(drawn & ~F.col("large"))
-    have = small.groupBy("source", "source_size", "target", "whole").agg(F.sum("size").alias("have"))
     goals = have.join(had, have["source"].eqNullSafe(had["of"]), "left").select(
         F.col("source").alias("g"),
         F.greatest(F.col("target") - F.col("whole") * F.col("source_size") - F.coalesce("had", F.lit(0)), F.lit(0.0)).alias("goal"),
