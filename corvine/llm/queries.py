@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, bpe, line_dedup, mixing, ngram_join, quality_gam, quality_rules, secret_scan, toxicity, warc
+from corvine.llm import ann, bpe, line_dedup, mixing, ngram_join, quality_gam, quality_rules, secret_scan, sql, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.SQL}
+    return dict(sql.SQL)
