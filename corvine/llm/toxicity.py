@@ -221,7 +221,7 @@ def toxic_words(words: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndar
     neg = np.bincount(inv, 1 - hit, len(vocab))
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     gain = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1)) - 1.0 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    return vocab[(pos >= 3) & (gain > np.log(3.0))]
+    return vocab[(pos >= 3) & (gain > np.log(8.0))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -240,27 +240,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def train(texts: list[str], y: np.ndarray, fold: np.ndarray, rate: float, rounds: int = 40) -> ToxicityModel:
-    """Fit the chain on the rows of fold 0 and the calibration on those of fold 1;
-    ``rate`` is the share of toxic documents among all labelled ones."""
+def training_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, word hashes and token counts, group by group: featurizing needs some 40
+    bytes for each byte of text."""
+    parts = [featurize([_lower(t) for t in texts[i:j]])[:3] for i, j in _groups(texts)]
+    if not parts:
+        return featurize([])[:3]
+    return np.concatenate([x[0] for x in parts], 1), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+
+
+def train(features: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, rate: float, rounds: int = 40) -> ToxicityModel:
+    """Fit the chain on the rows of fold 0, which come first, and the calibration on
+    those of fold 1; ``rate`` is the share of toxic documents among all labelled ones."""
     none = ToxicityModel(np.zeros(1, np.float32), 0.0, np.zeros((2, 2)), np.zeros(4), rate)
     if not len(y) or y.min() == y.max():
         return none
-    # Group by group: featurizing needs some 40 bytes for each byte of text.
-    parts = [featurize([_lower(t) for t in texts[i:j]])[:3] for i, j in _groups(texts)]
-    idx, words, counts = np.concatenate([x[0] for x in parts], 1), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-    del parts
+    idx, words, counts = features
     owner = np.repeat(np.arange(len(y)), counts)
     if not len(words):
         return none
-    inside = fold[owner] == 0
     ci = counts[fold == 0]
-    lex = toxic_words(words[inside], ci, y[fold == 0].astype(float))
+    n = int(ci.sum())
+    lex = toxic_words(words[:n], ci, y[fold == 0].astype(float))
     if not len(lex):
         lex = toxic_words(words, counts, y.astype(float))
     label = np.isin(words, lex) & (y[owner] == 1)
-    feats, tags = idx[:, inside], label[inside].astype(float)
+    feats, tags = idx[:, :n], label[:n].astype(float)
     size = 1 << TABLE_BITS
+    start = np.concatenate([[0], np.cumsum(ci)])
     gold = np.zeros((2, 2))
     previous = np.concatenate([[0], tags[:-1]]).astype(int)
     edge = np.concatenate([[0], np.cumsum(ci)[:-1]])
@@ -272,9 +279,13 @@ def train(texts: list[str], y: np.ndarray, fold: np.ndarray, rate: float, rounds
     known[feats[:, tags > 0].ravel()] = True
     gt, ga, gb = np.full(size, 1e-6), np.full((2, 2), 1e-6), 1e-6
     for _ in range(rounds):
-        d = sum(theta[feats[k]] for k in range(KINDS)) + bias
-        p, pair = forward_backward(np.exp(np.clip(d, -15, 15)), ci, trans)
-        miss = tags - p
+        miss, pair = np.empty(n), np.zeros((2, 2))
+        for i in range(0, len(ci), 400):  # a few documents at a time bound the memory
+            a, b = start[i], start[min(i + 400, len(ci))]
+            d = sum(theta[feats[k, a:b]] for k in range(KINDS)) + bias
+            p, q = forward_backward(np.exp(np.clip(d, -15, 15)), ci[i : i + 400], trans)
+            miss[a:b] = tags[a:b] - p
+            pair += q
         g = sum(np.bincount(feats[k], miss, size) for k in range(KINDS))
         g = np.where(known, g - 0.1 * theta, 0)
         gt += g * g
@@ -307,10 +318,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     # At most 2 * per_class rows of 12 bytes: a proven bound.
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).toArrow()
     seen = known.agg(F.avg("y")).first()[0]
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["text"].to_pylist(), strict=True))
-    y = np.array([r[1] for r in rows], int)
-    fold = np.array([(r[0] * 2654435761 >> 7) % 10 < 3 for r in rows], int)
-    return train([r[2] for r in rows], y, fold, 0.5 if seen is None else float(seen))
+    ids_of = got["doc_id"].to_numpy()
+    fold = ((ids_of * 2654435761 >> 7) % 10 < 3).astype(int)
+    texts = got["text"]
+    order = sorted(range(len(ids_of)), key=lambda i: (fold[i], ids_of[i], texts[i].as_py()))
+    y, fold = got["y"].to_numpy()[order], fold[order]
+    features = training_features([texts[i].as_py() for i in order])
+    del got, texts
+    return train(features, y, fold, 0.5 if seen is None else float(seen))
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
