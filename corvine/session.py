@@ -47,16 +47,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs a reread, not a recomputation, and
     gives the planner the table's true size: a join then broadcasts the table only
     below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    ``batch_rows`` bounds the Arrow batches of this write's Python stages: rows with
+    whole texts are large, and a batch is held in the JVM and in Python.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, key = shared_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
