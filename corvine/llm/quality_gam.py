@@ -202,7 +202,9 @@ def fit_quality(featured: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     known = training_labels(labels, label)
     ids = sample_ids(known, per_class)
     # At most 2 * per_class rows of 12 bytes: a proven bound.
-    got = featured.select("doc_id", "features").join(F.broadcast(ids), "doc_id").toArrow()
+    got = featured.select("doc_id", "features").join(F.broadcast(ids), "doc_id")
+    # One row for each id, however often it repeats.
+    got = got.groupBy("doc_id", "y").agg(F.min("features").alias("features")).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["features"].to_pylist(), strict=True))
     y = np.array([r[1] for r in rows], float)
     x = np.array([r[2] for r in rows], float).reshape(len(rows), len(FEATURES))

@@ -316,7 +316,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     known = training_labels(labels, label)
     ids = sample_ids(known, per_class)
     # At most 2 * per_class rows of 12 bytes: a proven bound.
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
+    # One text for each id, however often its rows repeat.
+    got = got.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()
     seen = known.agg(F.avg("y")).first()[0]
     ids_of = got["doc_id"].to_numpy()
     fold = ((ids_of * 2654435761 >> 7) % 10 < 3).astype(int)
