@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SKETCH_BITS = 18
 HIST_BITS = 6
 #: Buckets of up to so many members are joined pairwise, under the positional filter.
 SMALL = 2000
+#: Rows of an Arrow batch of whole texts.
+BATCH = 500
 #: Ids are broadcast up to so many (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
@@ -93,21 +96,22 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def _chunks(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= size:
+    for i, n in enumerate(sizes):
+        held += n or 0
+        if held >= most:
             yield at, i + 1
             at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
-def _sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a column, some half a megabyte of text at a time."""
     with np.errstate(over="ignore"):
-        for a, b in _chunks(texts):
-            yield from shingle_sets(texts[a:b], n)
+        for a, b in _chunks(pc.binary_length(texts).to_pylist()):
+            yield from shingle_sets(texts.slice(a, b - a).to_pylist(), n)
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -128,7 +132,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
         names = ["doc_id", "n", "set", "cell", "seen"]
         for b in batches:
             size, keys = [], []
-            for s in _sets(b.column("text").to_pylist(), n):
+            for s in _sets(b.column("text"), n):
                 size.append(len(s))
                 keys.append(_key(s))
                 # Cells repeat seldom within one set.
@@ -151,7 +155,7 @@ def _prefixes(docs: DataFrame, n: int, share: tuple[int, int], counts) -> DataFr
         seen = counts.value
         for b in batches:
             ids, keys, tokens, hists = [], [], [], []
-            for doc, s in zip(b.column("doc_id"), _sets(b.column("text").to_pylist(), n), strict=True):
+            for doc, s in zip(b.column("doc_id"), _sets(b.column("text"), n), strict=True):
                 if len(s):
                     k = len(s) - _least_overlap(len(s), share) + 1
                     order = np.lexsort((s, seen[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
@@ -220,7 +224,7 @@ class _Join:
                 keep = np.array(ok, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], names=["a", "b"])
 
-        new = materialize(self.with_texts(left).select("x", "y", "sx", "sy", "tx", "ty").mapInArrow(run, "a long, b long"), "links")
+        new = materialize(self.with_texts(left).select("x", "y", "sx", "sy", "tx", "ty").mapInArrow(run, "a long, b long"), "links", BATCH)
         self.tested = self.tested.unionByName(left)
         self.link(new)
 
@@ -307,7 +311,7 @@ class _Join:
                 kinds = (*[pa.int64()] * 6, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["leader", "node", "n", "d", "e", "need", "tokens"])
 
-        rows = materialize(self.with_texts(pairs).select("x", "y", "sx", "sy", "tx", "ty").mapInArrow(run, "leader long, node long, n long, d long, e long, need long, tokens array<long>"), "differences")
+        rows = materialize(self.with_texts(pairs).select("x", "y", "sx", "sy", "tx", "ty").mapInArrow(run, "leader long, node long, n long, d long, e long, need long, tokens array<long>"), "differences", BATCH)
         least = rows.groupBy("leader").agg(F.min(F.struct("e", "node")).alias("least"))
         least = materialize(least.select("leader", F.col("least.e").alias("e0"), F.col("least.node").alias("b")), "least")
         near = rows.join(least, "leader").where((F.col("e") + F.col("e0") <= 0) & (F.col("node") != F.col("b")))
@@ -330,14 +334,14 @@ def _pairs_of_sets(b: pa.RecordBatch, n: int) -> Iterator[tuple[bool, bool, np.n
     def of(key: bytes, text: str | None) -> tuple[bool, np.ndarray]:
         if key in made and made[key][0]:
             return made[key]
-        s = next(_sets([text], n))
+        s = next(_sets(pa.array([text], pa.string()), n))
         made[key] = (_key(s) == key, s)
         return made[key]
 
     for kx, ky, tx, ty in zip(b.column("sx"), b.column("sy"), b.column("tx"), b.column("ty"), strict=True):
         (ox, x), (oy, y) = of(kx.as_py(), tx.as_py()), of(ky.as_py(), ty.as_py())
         yield ox, oy, x, y
-        if len(made) > 2000:
+        if len(made) > 500:
             made.clear()
 
 
@@ -353,7 +357,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, share: tuple[int, int] = (90
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scanned = materialize(_scan(d, n), "scan")
+    scanned = materialize(_scan(d, n), "scan", BATCH)
     mine = scanned.where(F.col("cell").isNull()).select("doc_id", "n", "set")
     cells = scanned.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     seen = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -364,7 +368,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, share: tuple[int, int] = (90
     sets = mine.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     prefixes = _prefixes(usable, n, share, counts).join(sets, ["doc_id", "set"])
-    nodes = materialize(prefixes.select("node", "doc_id", "set", "n", "tokens", "hist"), "nodes")
+    nodes = materialize(prefixes.select("node", "doc_id", "set", "n", "tokens", "hist"), "nodes", BATCH)
     rows = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "bucket"))
     shared = materialize(rows.groupBy("bucket").count().where(F.col("count") > 1).select("bucket"), "shared")
     shingles = rows.join(shared, "bucket").select("bucket", "node", "n", "pos", F.col("n").alias("d"), (F.col("n") * (2 * share[0])).alias("e"))
