@@ -87,6 +87,21 @@ def test_probes_are_tuned_to_the_recall_that_is_asked(spark):
     assert np.mean(hit) > 0.9
 
 
+def test_probes_are_tuned_where_a_long_vector_outside_of_the_sample_puts_the_index(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 32)) + 1.0
+    x *= (rng.uniform(0.8, 1, 4000) / np.linalg.norm(x, axis=1))[:, None]
+    x[-1] *= 2.0 / np.linalg.norm(x[-1])
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert 3999 not in {r["vec_id"] for r in df.orderBy(F.xxhash64("embedding")).limit(1000).collect()}
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, leaf=64, sample=1000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_nearest(list(enumerate(x)))
+    assert np.mean([len(got[q] & {i for _, i in w}) / 20 for q, w in want.items()]) > 0.93
+
+
 # ---- 2 -------------------------------------------------------------------------------
 
 
