@@ -15,7 +15,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.operators import quality
@@ -26,15 +26,28 @@ OPERATOR = "quality-1"
 TABLES = ("documents", "lineage", "quarantine", "input_hashes")
 
 
+def _row_hash(df: DataFrame) -> Column:
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def _sums(h: str) -> list[Column]:
+    """The number of rows and the sums of the pieces of their hashes."""
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]]
+
+
 def table_digest(df: DataFrame) -> str:
     """A digest of the rows as a multiset: their number and the sums of the pieces of
     their hashes, so neither order nor files matter and no rows are gathered."""
-    h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
-    row = df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    row = df.select(_row_hash(df).alias("h")).agg(*_sums("h")).first()
     return hashlib.sha256(json.dumps([str(x) for x in row]).encode()).hexdigest()
 
 
+def _bucket_digests(df: DataFrame) -> dict[str, tuple]:
+    """The number and sums of each bucket's whole rows: at most 256 entries."""
+    d = df.select(F.substring("record_hash", 1, 2).alias("bucket"), _row_hash(df).alias("h"))
+    return {r["bucket"]: tuple(r)[1:] for r in d.groupBy("bucket").agg(*_sums("h")).collect()}
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str | Path):
         self.spark, self.root = spark, Path(root).resolve()
@@ -85,7 +98,8 @@ class Lake:
 
     def _processed(self, flagged: DataFrame) -> tuple[DataFrame, int, int]:
         """Flagged rows through the shard cache: a bucket (two hex digits of the record's
-        digest) whose records are unchanged is read, the others are written first."""
+        digest) whose records are unchanged is read, the others are written first. All
+        that is read must be the rows that went in."""
         b = flagged.withColumn("bucket", F.substring("record_hash", 1, 2))
         piece = lambda i: F.sum(F.conv(F.substring("record_hash", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
         # At most 256 rows.
@@ -102,7 +116,11 @@ class Lake:
         if not names:
             return flagged, 0, 0
         paths = [_uri(self.root / "shards" / f"shard={n}") for n in names.values()]
-        return self.spark.read.schema(flagged.schema).parquet(*paths), len(names) - len(todo), len(todo)
+        rows = self.spark.read.schema(flagged.schema).parquet(*paths)
+        want, got = _bucket_digests(flagged), _bucket_digests(rows)
+        if bad := sorted(x for x in want.keys() | got.keys() if want.get(x) != got.get(x)):
+            raise ValueError(f"shard checksum mismatch: {', '.join(names.get(x, str(x)) for x in bad)}")
+        return rows, len(names) - len(todo), len(todo)
 
     def publish(self, records: DataFrame, parent: str | None = None) -> dict:
         """Publish records (source_id, title, text) as a version; the same input gives
