@@ -33,8 +33,14 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of fewer than 24 fails whole, so asking for 24 at once finds the same spans.
 HEX = re.compile(r"[0-9a-f]{24,}")
-LONG_CODE = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+#: Encoded keys start with a SEQUENCE and a version or an algorithm, with the magic of
+#: OpenSSH's container, or with the armour of PEM; at least so many digits are asked.
+CODE, CODE_LEAST = re.compile(r"[A-Za-z0-9+/_-]+"), 40
+CODE_KEY = re.compile(r"M[A-P][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi")
+HEX_RUN, HEX_LEAST = re.compile(r"[0-9A-Fa-f]+"), 64
+HEX_KEY = re.compile(r"30[0-9A-Fa-f]{20}|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100|2[Dd]2[Dd]2[Dd]2[Dd]2[Dd]424547494[Ee]")
+PAD = re.compile("={0,2}")
+BREAK = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 
@@ -109,11 +115,12 @@ def is_der_key(raw: bytes) -> bool:
     return False
 
 
-def is_openssh_key(raw: bytes) -> bool:
-    """The magic, then length-prefixed cipher, KDF, options, keys and a private part."""
+def openssh_end(raw: bytes) -> int | None:
+    """Where a container that starts here ends: the magic, then length-prefixed cipher,
+    KDF, options, keys and a private part."""
     magic = b"openssh-key-v1\x00"
     if not raw.startswith(magic):
-        return False
+        return None
     at = len(magic)
 
     def field() -> int | None:
@@ -128,10 +135,14 @@ def is_openssh_key(raw: bytes) -> bool:
         return n
 
     if any(field() is None for _ in range(3)) or len(raw) - at < 4:
-        return False
+        return None
     keys = int.from_bytes(raw[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) and at == len(raw)
+    return at if 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) else None
+
+
+def is_openssh_key(raw: bytes) -> bool:
+    return openssh_end(raw) == len(raw)
 
 
 def is_signed_token(s: str) -> bool:
@@ -153,30 +164,97 @@ def key_kind(raw: bytes | None) -> str | None:
     return "der" if is_der_key(raw) else "openssh" if is_openssh_key(raw) else None
 
 
-def structural_spans(text: str) -> list[Span]:
+def der_size(raw: bytes) -> int | None:
+    """Bytes of the SEQUENCE that starts here, if it begins as a private key does."""
+    k = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if raw[0] != 0x30 or k > 4 or raw[1] == 0x80:
+        return None
+    body = raw[2 + k :]
+    if body[:2] != b"\x02\x01" and body[:1] != b"\x30":
+        return None
+    return 2 + k + (int.from_bytes(raw[2 : 2 + k], "big") if k else raw[1])
+
+
+def _joined(text: str, at: int, run: re.Pattern[str], need: int | None) -> list[tuple[int, int]]:
+    """The pieces of a run from ``at`` over wrapped lines: all as wide as the first, but
+    the last one; no more of them than ``need`` digits take."""
+    end = run.match(text, at).end()
+    pieces, width, have = [(at, end)], end - at, end - at
+    while (need is None or have < need) and (line := BREAK.match(text, end)) and (m := run.match(text, line.end())) and m.end() - m.start() <= width:
+        end = m.end()
+        pieces.append((m.start(), end))
+        have += end - m.start()
+        if end - m.start() < width:
+            break
+    return pieces
+
+
+def encoded_spans(text: str, start: re.Pattern[str], run: re.Pattern[str], least: int, armoured: list[Span]) -> list[Span]:
+    """Keys in base64 or hex at any place of a run, also over wrapped lines. Lines within
+    armour that was reported already aren't joined."""
+    out: list[Span] = []
+    coded = run is CODE
+
+    def decode(code: str) -> bytes | None:
+        return decode_base64(code[: len(code) - (len(code) % 4 == 1)]) if coded else bytes.fromhex(code[: len(code) & ~1])
+
+    at = 0
+    while m := start.search(text, at):
+        at, first = m.start() + 1, decode(m[0])
+        size = der_size(first) if first and first[0] == 0x30 else None
+        if first is None or (first[0] == 0x30 and size is None):
+            continue
+        need = None if size is None else (4 * size + 2) // 3 if coded else 2 * size
+        pieces = _joined(text, m.start(), run, need)
+        if len(pieces) > 1 and any(a <= m.start() < b for a, b, _ in armoured):
+            continue
+        code = "".join(text[a:b] for a, b in pieces)
+        if len(code) < max(need or 0, least) or (need is not None and need < least):
+            continue
+        raw, kind = decode(code[:need]), None
+        if raw is None:
+            continue
+        if size is not None:
+            kind = "der" if is_der_key(raw) else None
+        elif (end := openssh_end(raw)) is not None:
+            kind, need = "openssh", (4 * end + 2) // 3 if coded else 2 * end
+        elif raw.startswith(b"-----BEGIN ") and pem_spans(raw.decode("latin-1")):
+            kind, need = "pem", len(code)
+        if kind:
+            for a, b in pieces:
+                at = min(b, a + need)
+                need -= at - a
+                if not need:
+                    break
+            if coded:
+                at = PAD.match(text, at).end()
+            out.append((m.start(), at, kind))
+    return out
+
+
+def pem_spans(text: str) -> list[Span]:
     out: list[Span] = []
-    if "-----BEGIN " in text:
-        gone: set[str] = set()
-        for m in PEM_BEGIN.finditer(text):
-            mark = f"-----END {m[1]}-----"
-            at = -1 if m[1] in gone else text.find(mark, m.end())
-            if at < 0:
-                gone.add(m[1])
-                continue
-            lines = [x.strip() for x in text[m.end() : at].replace("\\n", "\n").split("\n")]
-            code = "".join(x for x in lines if ":" not in x)
-            if "ENCRYPTED" in text[m.end() : at] or key_kind(decode_base64(code)):
-                out.append((m.start(), at + len(mark), "pem"))
+    gone: set[str] = set()
+    for m in PEM_BEGIN.finditer(text):
+        mark = f"-----END {m[1]}-----"
+        at = -1 if m[1] in gone else text.find(mark, m.end())
+        if at < 0:
+            gone.add(m[1])
+            continue
+        lines = [x.strip() for x in text[m.end() : at].replace("\\n", "\n").split("\n")]
+        code = "".join(x for x in lines if ":" not in x)
+        if "ENCRYPTED" in text[m.end() : at] or key_kind(decode_base64(code)):
+            out.append((m.start(), at + len(mark), "pem"))
+    return out
+
+
+def structural_spans(text: str) -> list[Span]:
+    out = pem_spans(text) if "-----BEGIN " in text else []
+    armoured = list(out)
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
-    for m in LONG_CODE.finditer(text):
-        # DER keys start with a SEQUENCE of 2 or 3 length bytes, OpenSSH keys with "o".
-        if (m[0][0] in "Mb") and (kind := key_kind(decode_base64(m[0]))):
-            out.append((m.start(), m.end(), kind))
-    for m in LONG_HEX.finditer(text):
-        if m[0][:2] in ("30", "6f", "6F") and len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
-            out.append((m.start(), m.end(), kind))
-    return out
+    out += encoded_spans(text, CODE_KEY, CODE, CODE_LEAST, armoured)
+    return out + encoded_spans(text, HEX_KEY, HEX_RUN, HEX_LEAST, armoured)
 
 
 def render(spans: list[Span]) -> str:

@@ -220,6 +220,21 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_encoded_keys_are_found_within_runs_in_armour_and_over_lines():
+    code = base64.b64encode(PKCS8).decode()
+    wrap = lambda s, n: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrap(code, 64)}\n-----END PRIVATE KEY-----\n"
+    coded = base64.b64encode(pem.encode()).decode()
+    for body, kind in {coded: "pem", wrap(coded, 76): "pem", code: "der", wrap(code, 64): "der", wrap(PKCS8.hex(), 64): "der", code.rstrip("="): "der"}.items():
+        assert secret_scan.structural_spans(f"k: {body} e") == [(3, 3 + len(body), kind)], body
+    assert secret_scan.structural_spans(f"path/{code}") == [(5, 5 + len(code), "der")]
+    assert secret_scan.structural_spans(f"00{PKCS8.hex()}") == [(2, 2 + 2 * len(PKCS8), "der")]
+    assert secret_scan.structural_spans(pem) == [(0, len(pem) - 1, "pem")]
+    lost = wrap(code, 64).split("\n")
+    assert secret_scan.structural_spans("\n".join(lost[:2] + lost[3:])) == []
+    assert secret_scan.structural_spans(coded[:-60]) == []
+
+
 def test_base_spans_equal_plain_patterns():
     rng = random.Random(6)
     bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abc", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJKLMNOP", "é", "-", "\n"]
