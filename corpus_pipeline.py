@@ -28,15 +28,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that link by five-word shingles at 0.8 the one of smallest doc_id stays."""
-    found = materialize(ngram_join.jaccard_components(docs, n=5, share=(80, 100)), "classes")
-    # Rows whose id occurs again: one stays, whatever its text.
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    gone = materialize(again.where((F.col("n") > 1) | (F.col("c") != F.col("doc_id"))).select("doc_id", F.when((F.col("n") > 1) & (F.col("c") == F.col("doc_id")), True).otherwise(False).alias("one")), "gone")
-    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    if gone.where("one").limit(1).count():
-        kept = kept.unionByName(docs.join(gone.where("one").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
-    return kept
+    """Of texts that link by five-word shingles at 0.8 the one of smallest doc_id stays.
+
+    What is judged is a doc_id with a text: of rows that repeat both, the least one
+    stays; several texts of one id are judged each for itself, those of one class in the
+    order of their digests. Rows with a null id stay.
+    """
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    again = materialize(again.select("doc_id"), "again")
+    digest, row = F.coalesce(F.sha2("text", 256), F.lit("")), F.col("doc_id").cast("long")
+    each = docs
+    if again.limit(1).count():
+        some = docs.join(again, "doc_id", "left_semi").select(docs.columns)
+        some = materialize(some.groupBy("doc_id", digest.alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"), "repeated")
+        each = docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(some)
+        if some.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
+            # Numbers in the order of id and digest stand for the ids.
+            order = each.where(F.col("doc_id").isNotNull()).select("doc_id", digest.alias("_text")).orderBy("doc_id", "_text")
+            order = materialize(order.withColumn("_row", F.monotonically_increasing_id()), "order")
+            each, row = each.withColumn("_text", digest).join(order, ["doc_id", "_text"], "left"), F.col("_row")
+        each = materialize(each, "each")
+    found = ngram_join.jaccard_components(each.select(row.alias("doc_id"), "text"), n=5, share=(80, 100))
+    gone = materialize(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")), "gone")
+    return each.join(gone, row == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -507,3 +507,17 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
             assert {r["doc_id"] for r in held.collect()} == set(least.values())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() == sizes[-1] and whole.columns == held.columns
+
+
+def test_near_copies_are_judged_by_id_and_text(spark):
+    rng = random.Random(15)
+    a, b, c, e = (prose(40, rng) for _ in range(4))
+    rows_in = [(1, a, "x"), (3, a, "x"), (3, b, "x"), (4, c, "z"), (4, c, "y"), (4, c, "z"), (5, e, "x"), (5, e.upper(), "x"), (None, a, "x"), (None, a, "x"), (7, "", "x"), (7, None, "x")]
+    first = min(e, e.upper(), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = sorted([(1, a, "x"), (3, b, "x"), (4, c, "y"), (5, first, "x"), (None, a, "x"), (None, a, "x"), (7, "", "x"), (7, None, "x")], key=repr)
+    d = spark.createDataFrame(rows_in, "doc_id long, text string, source string")
+    for n in (1, 5):
+        got = corpus_pipeline.drop_near_copies(spark, d.repartition(n), "")
+        assert got.columns == d.columns and sorted((tuple(r) for r in got.collect()), key=repr) == want
+    same = corpus_pipeline.drop_near_copies(spark, d.where("doc_id = 4 or doc_id = 1"), "")
+    assert sorted(tuple(r) for r in same.collect()) == [(1, a, "x"), (4, c, "y")]
