@@ -2,25 +2,35 @@
 
 A run is a sequence of lines with words (blank ones are looked through). A run that
 occurred earlier in the corpus (by document, then line) is deleted where it has MIN_LINES
-lines or MIN_WORDS words, whatever its length. Any such run is covered by windows of at
-most MIN_LINES lines that are as long or as wordy, so it is found as follows. The line of
-least hash of each window is a fingerprint: equal windows have equal fingerprints at
-equal places. Windows whose fingerprint occurs at one position only can't repeat and are
-dropped; the others are joined by their content with its first position, and all lines
-of the windows at later positions go, which extends a match as far as it goes both ways.
+lines or MIN_WORDS words, whatever its length.
+
+Winnowing: of each window of MIN_LINES lines, and of each shorter one that has the words,
+the line of least hash is selected as a fingerprint, so two equal runs of that length
+have at least one fingerprint in common, at the same place. Fingerprints that occur at
+one position only are dropped. The positions of the others are joined with the first
+position of the same fingerprint amid the same window, a seed of a match. Seeds that
+follow each other in both documents at one distance are one match: it is extended from
+each fingerprint forward and backward as far as the two documents agree, since every
+window of a match is a seed of it. All but the first occurrence of a match go.
+
+Hot lines (a license in a third of all documents) are spread over tasks by
+``spread_join``; all joins are sort-merge joins at every size, which spill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.session import materialize, small_side
+from corvine.operators.skew import spread_join
+from corvine.session import materialize
 
 MIN_LINES = 3
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
+#: A match: the document with its text's hash, and where else the match occurred first.
+_MATCH = ["doc", "of", "from_doc", "from_of", "shift"]
 
 
 def _order(doc_id: str = "doc_id") -> Column:
@@ -29,54 +39,62 @@ def _order(doc_id: str = "doc_id") -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Of each document its lines with words: places, two hashes, words. Equal rows are
-    one document; rows of one id with several texts are several."""
-    every = docs.select(_order().alias("doc"), F.xxhash64("text").alias("of"), F.split("text", "\n").alias("all"))
-    some = every.withColumn("at", F.filter(F.transform("all", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull()))
-    some = some.where(F.size("at") > 0)
-    pick = lambda f: F.transform("at", lambda i: f(F.get("all", i)))
-    return some.select("doc", "of", "at", pick(F.xxhash64).alias("h"), pick(F.hash).alias("g"), pick(lambda x: F.regexp_count(x, F.lit(WORD))).alias("w"))
+    """Of each document its lines with words: places, two hashes, words. Texts are split
+    and matched once. Equal rows are one document; rows of one id with several texts are
+    several."""
+    one = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w"))
+    worded = F.filter(F.transform(F.split("text", "\n"), one), lambda x: x["w"] > 0)
+    return docs.select(_order().alias("doc"), F.xxhash64("text").alias("of"), worded.alias("lines"))
 
 
 def _windows(lines: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """doc, of, at, and ``all``: an array of windows (start, size, id, id2, p: the place of
-    its least hash, the last of equal ones)."""
-    start = F.sequence(F.lit(0), F.size("h") - 1)
+    """doc, of, and ``all``: an array of windows (f: the least hash, p: its place, the
+    last of equal ones; start, size; id, id2; a, z: places of the first and last line in
+    the text)."""
+    lines = lines.where(F.size("lines") > 0)
+    start = F.sequence(F.lit(0), F.size("lines") - 1)
 
     def of(i: Column, size: int) -> Column:
-        part = lambda c: [F.get(c, i + j) for j in range(size)]
-        h = part("h")
+        x = [F.get("lines", i + j) for j in range(size)]
+        h = [y["h"] for y in x]
         least = F.least(*h) if size > 1 else h[0]
         p = F.lit(0)
         for j in range(size):
             p = F.when(h[j] == least, F.lit(j)).otherwise(p)
-        words = sum(part("w")[1:], part("w")[0])
-        good = (i + size <= F.size("h")) & ((words >= min_words) if size < min_lines else F.lit(True))
-        return F.when(good, F.struct(i.alias("start"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *h).alias("id"), F.hash(F.lit(size), *part("g")).alias("id2"), (i + p).alias("p")))
+        good = (i + size <= F.size("lines")) & ((sum((y["w"] for y in x[1:]), x[0]["w"]) >= min_words) if size < min_lines else F.lit(True))
+        ids = F.xxhash64(F.lit(size), *h).alias("id"), F.hash(F.lit(size), *[y["g"] for y in x]).alias("id2")
+        return F.when(good, F.struct(least.alias("f"), (i + p).alias("p"), i.alias("start"), F.lit(size).alias("size"), *ids, x[0]["at"].alias("a"), x[-1]["at"].alias("z")))
 
     every = F.flatten(F.transform(start, lambda i: F.filter(F.array(*[of(i, s) for s in range(1, min_lines + 1)]), lambda x: x.isNotNull())))
-    return lines.select("doc", "of", "at", "h", every.alias("all")).where(F.size("all") > 0)
+    return lines.select("doc", "of", every.alias("all"))
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, of, gone: the places of the lines that repeat an earlier run, for documents
-    that have such lines."""
-    lines = materialize(_lines(docs), "lines")
-    windows = materialize(_windows(lines, min_lines, min_words), "windows")
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, of, from_doc, from_of, shift, first, last: the maximal matches of each
+    document (by id and hash of the text) with an earlier place: lines first..last of its
+    text that have words repeat those of from_doc, ``shift`` lines with words before or
+    after."""
+    windows = materialize(_windows(materialize(_lines(docs), "lines"), min_lines, min_words), "windows")
     # A fingerprint is a position, however many windows choose it; equal rows are one.
-    prints = windows.select("doc", "of", "h", F.explode(F.array_distinct(F.transform("all", lambda x: x["p"]))).alias("p"))
-    seen = prints.select(F.get("h", F.col("p")).alias("f"), F.struct("doc", "of", "p").alias("x"))
-    shared = seen.groupBy("f").agg(F.min("x").alias("a"), F.max("x").alias("b")).where(F.col("a") != F.col("b")).select("f")
-    shared = materialize(shared, "fingerprints")
-    each = windows.select("doc", "of", "at", "h", F.explode("all").alias("x"))
-    each = each.select("doc", "of", F.get("h", F.col("x.p")).alias("f"), F.col("x.start").alias("start"), F.col("x.id").alias("id"), F.col("x.id2").alias("id2"), F.transform(F.sequence(F.col("x.start"), F.col("x.start") + F.col("x.size") - 1), lambda i: F.get("at", i)).alias("places"))
-    each = materialize(each.join(small_side(shared), "f", "left_semi").drop("f"), "candidates")
-    first = each.groupBy("id", "id2").agg(F.min(F.struct("doc", "of", "start")).alias("first"), F.max(F.struct("doc", "of", "start")).alias("last")).where(F.col("first") != F.col("last"))
-    first = materialize(first.select("id", "id2", "first"), "first")
-    later = each.join(small_side(first), ["id", "id2"]).where(F.struct("doc", "of", "start") > F.col("first"))
-    # As many places as a document has lines, each at most once for each window of it.
-    gone = later.select("doc", "of", F.explode("places").alias("place")).groupBy("doc", "of").agg(F.array_sort(F.collect_set("place")).alias("gone"))
-    return materialize(gone, "gone")
+    prints = windows.select("doc", "of", F.explode(F.array_distinct(F.transform("all", lambda x: F.struct(x["f"].alias("f"), x["p"].alias("p"))))).alias("x"))
+    at = F.struct("doc", "of", "x.p")
+    shared = prints.groupBy(F.col("x.f").alias("f")).agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") != F.col("b"))
+    shared = materialize(shared.select("f", "n"), "fingerprints")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    each = windows.select("doc", "of", F.explode("all").alias("x")).select("doc", "of", "x.f", "x.start", "x.size", "x.id", "x.id2", "x.a", "x.z")
+    seeds = materialize(spread_join(each, shared, ["f"], "left_semi", "n", total, ["doc", "start"]).drop("f"), "seeds")
+    where = F.struct("doc", "of", "start")
+    first = seeds.groupBy("id", "id2").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last"))
+    first = materialize(first.select("id", "id2", "first", "n"), "first")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    met = spread_join(seeds, first, ["id", "id2"], "inner", "n", total, ["doc", "start"]).where(where > F.col("first"))
+    met = met.select("doc", "of", F.col("first.doc").alias("from_doc"), F.col("first.of").alias("from_of"), (F.col("start") - F.col("first.start")).alias("shift"), "start", (F.col("start") + F.col("size") - 1).alias("end"), "a", "z")
+    # Along one distance of one pair of documents: as many seeds as the text has lines.
+    along = Window.partitionBy(*_MATCH).orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
+    met = met.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return met.groupBy(*_MATCH, "run").agg(F.min("a").alias("first"), F.max("z").alias("last")).drop("run")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -87,18 +105,25 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     empty. Of copies the first document keeps its lines, ordered by doc_id (null last),
     then by a hash of the text; rows that repeat both id and text are one document and
     keep or lose the same lines. An empty table gives an empty result; input columns
-    named like results are replaced.
+    named like results are replaced. Texts are shuffled once, by id and hash, to meet
+    their matches.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), min_lines, min_words)
-    base = docs.drop("n_lines", "n_removed").withColumns({"_doc": _order(), "_of": F.xxhash64("text")})
-    out = base.join(small_side(gone).select(F.col("doc").alias("_doc"), F.col("of").alias("_of"), F.col("gone").alias("_gone")), ["_doc", "_of"], "left")
-    lines = F.split("text", "\n")
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get("_lines", i))))
-    n = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    new = {"text": text, "n_lines": n.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    out = out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed"))
+    runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_words)
+    runs = runs.groupBy("doc", "of").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    mine = {c: f"c{i}" for i, c in enumerate(kept)}  # own names can't clash with the input's
+    base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], _order().alias("doc"), F.xxhash64("text").alias("of"))
+    out = base.join(materialize(runs, "runs").hint("merge"), ["doc", "of"], "left")
+    text, lines = F.col(mine["text"]), F.split(mine["text"], "\n")
+    # Within a match the lines with words go; sets of places, so linear in the lines.
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+    spans = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))
+    gone = F.when(F.col("runs").isNotNull(), F.array_intersect(worded, spans))
+    out = out.select(*mine.values(), gone.alias("gone"), F.when(F.col("runs").isNotNull(), lines).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    new = F.when(F.col("gone").isNull(), text).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get("lines", i))))
+    n = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    out = out.select(*[new.alias(c) if c == "text" else F.col(m).alias(c) for c, m in mine.items()], n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
     return out
 
 
