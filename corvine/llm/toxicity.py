@@ -14,19 +14,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.labelled import held_out, sample_ids, training_labels
 
-#: Bound of the training sample: documents of either class.
+#: Bounds of the training sample, by class: documents, and characters of their texts.
+#: The shortest texts are taken first where all would be more.
 SAMPLE_PER_CLASS = 2000
+SAMPLE_CHARS = 1 << 25
 TABLE_BITS = 18
 BLOCK = 32
 THRESHOLD = 0.7
 #: Documents are tagged in groups of about so many bytes, which bounds a task's memory
 #: (a single longer text is tagged alone).
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("'")]] = True
@@ -37,7 +39,12 @@ KINDS = 5
 
 
 def _lower(text: str) -> bytes:
-    return text.lower().encode("utf-8", "replace")
+    """Lower case, one code point for each of the text, so that places in it are places
+    in the text: the few letters that lower-case to several stay."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return low.encode("utf-8", "replace")
 
 
 def token_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,14 +318,17 @@ def train(features: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, fo
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, label: str = "toxic") -> ToxicityModel:
-    """Train on a bounded sample: at most ``per_class`` labelled documents of either
-    class, whole texts, collected to the driver. Counts over labels cover all of them."""
+    """Train on a bounded sample: of either class at most ``per_class`` labelled
+    documents and SAMPLE_CHARS characters, whole texts, collected to the driver. The
+    share of toxic labels is taken from all of them."""
     known = training_labels(labels, label)
     ids = sample_ids(known, per_class)
     # At most 2 * per_class rows of 12 bytes: a proven bound.
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
     # One text for each id, however often its rows repeat.
-    got = got.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()
+    got = got.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.length("text"), "doc_id"))
+    got = got.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).drop("upto").toArrow()
     seen = known.agg(F.avg("y")).first()[0]
     ids_of = got["doc_id"].to_numpy()
     fold = ((ids_of * 2654435761 >> 7) % 10 < 3).astype(int)
@@ -341,56 +351,73 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def toxic_spans(model: ToxicityModel, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-    """(start, end, marginal) in code points of the tokens that are likelier toxic, with
-    neighbouring ones joined. Lower-casing may lengthen a text; offsets then follow the
-    lower-cased one."""
-    raw = _lower(text)
-    idx, _, counts, starts, ends = featurize([raw])
-    if model.table.shape[0] == 1 or not counts[0]:
-        return []
-    p = model.marginals(idx, counts)
-    out: list[tuple[int, int, float]] = []
-    for i in np.flatnonzero(p >= least):
-        a, b = len(raw[: starts[i]].decode()), len(raw[: ends[i]].decode())
-        if out and i and p[i - 1] >= least:
-            out[-1] = (out[-1][0], b, max(out[-1][2], float(p[i])))
-        else:
-            out.append((a, b, float(p[i])))
-    return out
+Span = tuple[int, int, float]
+
+
+def judge(model: ToxicityModel, texts: list[str | None], least: float = 0.5) -> tuple[np.ndarray, list[list[Span]]]:
+    """Of each text its score, and (start, end, marginal) in code points of its tokens
+    that are at least so likely toxic, neighbouring ones joined."""
+    score, spans = np.zeros(len(texts)), [[] for _ in texts]
+    for i, j in _groups(texts):
+        raw = [_lower(t or "") for t in texts[i:j]]
+        idx, _, counts, starts, ends = featurize(raw)
+        if model.table.shape[0] == 1:
+            score[i:j] = model.score(np.zeros(idx.shape[1]), counts)
+            continue
+        p = model.marginals(idx, counts)
+        score[i:j] = model.score(p, counts)
+        hits = np.flatnonzero(p >= least)
+        if not len(hits):
+            continue
+        # Code points before each byte of the joined texts.
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(b"\n".join(raw), np.uint8) & 0xC0) != 0x80)])
+        first = points[np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw[:-1]])]).astype(np.int64)]
+        owner = np.repeat(np.arange(len(raw)), counts)[hits]
+        a, b = points[starts[hits]] - first[owner], points[ends[hits]] - first[owner]
+        new = np.concatenate([[True], (np.diff(hits) > 1) | (np.diff(owner) > 0)])
+        at = np.flatnonzero(new)
+        last = np.concatenate([at[1:], [len(hits)]]) - 1
+        for k, (x, y, top) in enumerate(zip(a[at].tolist(), b[last].tolist(), np.maximum.reduceat(p[hits], at).tolist(), strict=True)):
+            spans[i + owner[at[k]]].append((x, y, top))
+    return score, spans
+
+
+def toxic_spans(model: ToxicityModel, text: str, least: float = 0.5) -> list[Span]:
+    return judge(model, [text], least)[1][0]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", spans: bool = False) -> DataFrame:
     """Keep every column and add score, predicted and, if asked, toxic_spans (an array
-    of start, end, marginal). Null and empty texts score as texts without tokens. A
-    narrow map; columns named like results are replaced."""
+    of start, end, marginal). Null and empty texts score as texts without tokens; rows
+    are scored one by one, so repeated ones get equal scores; an empty table gives an
+    empty result. A narrow map that sends texts to Python and only results back; columns
+    named like results are replaced."""
+    of_span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])
+    kind = "struct<score:double,predicted:int" + (",toxic_spans:array<struct<start:int,end:int,marginal:double>>>" if spans else ">")
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        score, found = judge(model, texts.to_pylist())
+        cols = {"score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))}
+        if spans:
+            cols["toxic_spans"] = pa.array([[dict(zip(("start", "end", "marginal"), s, strict=True)) for s in x] for x in found], pa.list_(of_span))
+        return pa.StructArray.from_arrays([*cols.values()], names=[*cols])
+
     new = ["score", "predicted", *(["toxic_spans"] if spans else [])]
-    kept = [f for f in docs.schema.fields if f.name not in new]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(text).to_pylist()
-            score = np.zeros(len(texts))
-            for i, j in _groups(texts):
-                idx, _, counts, _, _ = featurize([_lower(t or "") for t in texts[i:j]])
-                p = model.marginals(idx, counts) if model.table.shape[0] > 1 else np.zeros(idx.shape[1])
-                score[i:j] = model.score(p, counts)
-            cols = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
-            if spans:
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-                cols.append(pa.array([[dict(zip(("start", "end", "marginal"), s, strict=True)) for s in toxic_spans(model, t or "")] for t in texts], kind))
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + cols, names=[f.name for f in kept] + new)
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "predicted int"] + (["toxic_spans array<struct<start:int,end:int,marginal:double>>"] if spans else [])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, ", ".join(fields))
+    kept = [c for c in docs.columns if c not in new]
+    own = [f"c{i}" for i in range(len(kept))]  # own names can't clash with the input's
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, own, strict=True)], run(F.col(f"`{text}`").cast("string")).alias("got"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, own, strict=True)], *[F.col(f"got.{c}").alias(c) for c in new])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, by a model trained on ``labels``.
+    """doc_id, held_out, score, predicted, toxic_spans of every row, by a model trained
+    on ``labels``.
 
     Without labels of both classes every score is the labels' base rate (0.5 if there
-    are none). Repeated rows get equal scores; an empty table gives an empty result.
+    are none) and there are no spans. Repeated rows get equal scores; an empty table
+    gives an empty result.
     """
     d = docs.select("doc_id", "text")
-    scored = score_toxicity(d, fit_toxicity(d, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = score_toxicity(d, fit_toxicity(d, labels), spans=True)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_spans")

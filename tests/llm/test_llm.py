@@ -157,6 +157,15 @@ def test_toxicity_learns_scores_and_finds_spans(spark):
     model = toxicity.fit_toxicity(d, labels)
     text = "Some rotten words, and then é Dreadful ones."
     assert [text[a:b] for a, b, _ in toxicity.toxic_spans(model, text)] == ["rotten", "Dreadful"]
+    odd = "\u0130\u0130 \u00e9 rotten \U0001f600 rotten rotten, DREADFUL \u0130"  # lower-casing a dotted I adds a code point
+    want = [(m.start(), m.end()) for m in re.finditer("rotten rotten|rotten|DREADFUL", odd)]
+    one, many = toxicity.toxic_spans(model, odd), toxicity.judge(model, ["", odd, None, "x " * 200_000 + odd, odd])
+    joined = [(x, y) for x, y, _ in one]
+    assert joined[0] == want[0] and joined[-1][1] == want[-1][1] and {x for x, _ in joined} <= {x for x, _ in want}
+    assert many[1][0] == many[1][2] == [] and many[1][1] == many[1][4] == one
+    assert [(x - 400_000, y - 400_000) for x, y, _ in many[1][3]] == joined
+    twice = toxicity.score_toxicity(d.unionByName(d), model).groupBy("doc_id").agg(F.count_distinct("score").alias("n"), F.count("score").alias("m")).collect()
+    assert {(r["n"], r["m"]) for r in twice} == {(1, 2)}
     scored = toxicity.score_toxicity(d.withColumn("score", F.lit("old")), model, spans=True)
     assert scored.columns[-3:] == ["score", "predicted", "toxic_spans"] and scored.count() == d.count()
 
