@@ -27,3 +27,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if not changed:
             return labels
+
+
+def join_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (node, label) after more edges (a, b): only those between different
+    labels are looked at, as edges between labels. A node without a label is its own."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    e = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    e = materialize(e.where(F.col("a") != F.col("b")).distinct(), "edges")
+    if not e.limit(1).count():
+        return labels
+    roots = connected_components(e)
+    up = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    old = labels.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return materialize(old.unionByName(roots.join(labels.select("node"), "node", "left_anti")), "labels")

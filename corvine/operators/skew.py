@@ -23,4 +23,4 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows
     marks = F.broadcast(right.where(hot).select(*on, F.lit(True).alias("_hot")))
     salted = left.join(marks, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     place = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(right.withColumn("_salt", F.explode(place)).drop(rows).hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return salted.join(right.withColumn("_salt", F.explode(place)).hint("merge"), [*on, "_salt"], how).drop("_salt")
