@@ -5,10 +5,12 @@ Texts with equal shingle sets are one node. A node's shingles are ordered rare f
 a count sketch over all documents, then by hash); two sets that are similar enough share
 one among the first few, the prefix. Nodes with a prefix shingle in common form a
 bucket. A bucket's members are first compared with one leader, which joins families of
-near copies in as many comparisons as they have members. Only members that are still in
-different components are compared pairwise, and in buckets of over SMALL members not
-even those: there, pairs must also share some of the few shingles in which they differ
-from the leader, so these shingles make the buckets of the next round. No pair that
+near copies in as many comparisons as they have members. Then members of different
+components are compared, under the length and positional filters. Where that would be
+over LIMIT others for each member, the bucket is refined: similar sets share not only
+one but several shingles, each in a prefix that is one longer, so members meet by the
+next shingle that they share, in smaller buckets with leaders of their own. That is done
+where it halves the comparisons at least, DEPTH shingles deep at most. No pair that
 links is lost, and none is formed that the components already hold.
 """
 
@@ -23,15 +25,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.operators.components import connected_components
+from corvine.operators.components import join_labels
+from corvine.operators.skew import spread_join
 from corvine.session import materialize
 
 #: Cells of the count sketch that orders shingles; its size doesn't grow with the data.
 SKETCH_BITS = 18
 #: Cells of the suffix filter's histograms.
 HIST_BITS = 6
-#: Buckets of up to so many members are joined pairwise, under the positional filter.
-SMALL = 2000
+#: Buckets whose members would meet more members of other components, on average, are
+#: refined by a further shingle if that pays, up to so many in all. Members are compared
+#: in places of BLOCK members each.
+LIMIT = 200
+BLOCK = 1000
+DEPTH = 4
 #: Rows of an Arrow batch of whole texts.
 BATCH = 500
 #: Ids are broadcast up to so many (8 bytes each), and joined by a shuffle beyond.
@@ -148,8 +155,16 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set binary, cell int, seen long")
 
 
+def _levels(share: tuple[int, int]) -> int:
+    """How many shingles two different sets that are similar share at least, up to DEPTH:
+    with J >= p / q they share p / (q - p) or more."""
+    p, q = share
+    return max(1, min(DEPTH, p // (q - p))) if q > p else DEPTH
+
+
 def _prefixes(docs: DataFrame, n: int, share: tuple[int, int], counts) -> DataFrame:
-    """Of each document with words its prefix, rare first, and its histogram."""
+    """Of each document with words its longest prefix, rare first, and its histogram."""
+    more = _levels(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counts.value
@@ -157,7 +172,7 @@ def _prefixes(docs: DataFrame, n: int, share: tuple[int, int], counts) -> DataFr
             ids, keys, tokens, hists = [], [], [], []
             for doc, s in zip(b.column("doc_id"), _sets(b.column("text"), n), strict=True):
                 if len(s):
-                    k = len(s) - _least_overlap(len(s), share) + 1
+                    k = len(s) - _least_overlap(len(s), share) + more
                     order = np.lexsort((s, seen[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                     ids.append(doc.as_py())
                     keys.append(_key(s))
@@ -192,7 +207,6 @@ class _Join:
     def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, share: tuple[int, int]):
         self.docs, self.nodes, self.n, self.share = docs, nodes, n, share
         spark = docs.sparkSession
-        self.edges = spark.createDataFrame([], "a long, b long")
         self.tested = spark.createDataFrame([], "x long, y long")
         self.labels = spark.createDataFrame([], "node long, label long")
 
@@ -229,101 +243,130 @@ class _Join:
         self.link(new)
 
     def link(self, new: DataFrame) -> None:
-        self.edges = self.edges.unionByName(new)
-        self.labels = connected_components(self.edges)
+        self.labels = join_labels(self.labels, new)
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def compare(self, buckets: DataFrame, limit: int) -> DataFrame | None:
-        """One round over buckets (bucket, node, n, pos, d, e); returns the next's, if
-        any. A member has d shingles that may be shared, in one order; this bucket's is
-        at pos. Members x, y are similar only if they share (e_x + e_y) / 2(p + q)."""
-        sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "n", "node")).alias("head")).where(F.col("size") > 1)
-        sizes = materialize(sizes.select("bucket", "size", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n")), "sizes")
-        members = materialize(buckets.join(sizes, "bucket").select("bucket", "node", "n", "pos", "d", "e", "size", "leader", "leader_n"), "members")
-        many = members.where(F.col("size") > limit)
-        if many.limit(1).count():
-            # A family of near copies shares many buckets: they all take the member that
-            # is in most of them as leader, so that the family is compared once.
-            hubs = many.groupBy("node").agg(F.count(F.lit(1)).alias("hub"))
-            led = many.join(materialize(hubs, "hubs"), "node").groupBy("bucket").agg(F.max(F.struct("hub", (-F.col("node")).alias("back"), "n")).alias("h"))
-            led = materialize(led.select("bucket", (-F.col("h.back")).alias("l2"), F.col("h.n").alias("n2")), "led")
-            members = materialize(members.join(led, "bucket", "left").withColumns({"leader": F.coalesce("l2", "leader"), "leader_n": F.coalesce("n2", "leader_n")}).drop("l2", "n2"), "members")
+        return members.drop("label").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def live(self, members: DataFrame) -> DataFrame:
+        """The members, labelled, of buckets with several components."""
+        now = self.labelled(members)
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("k")).where(F.col("a") != F.col("b"))
+        open_ = materialize(open_.select("bucket", "k"), "live")
+        total = open_.agg(F.sum("k")).first()[0] or 0
+        return materialize(spread_join(now, open_, ["bucket"], "left_semi", "k", total, ["node"]), "members")
+
+    def similar_sizes(self, a: str, b: str) -> Column:
+        p, q = self.share
+        return (F.col(a) * q >= F.col(b) * p) & (F.col(b) * q >= F.col(a) * p)
+
+    def may_overlap(self, level: int) -> Column:
+        """The positional filter. Where two members meet by the first ``level`` shingles
+        that they share, the last at pos, they share at most what is left of the shorter
+        rest besides; a similar pair passes there, whatever its other buckets say."""
+        p, q = self.share
+        left = F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) + (level - 1)
+        return left * (p + q) >= (F.col("nx") + F.col("ny")) * p
+
+    def leaders(self, members: DataFrame, level: int) -> DataFrame:
+        """The members with a leader of their bucket (leader, leader_n, leader_label)."""
+        # A family of near copies shares many buckets: large ones take the member that is
+        # in most of them, so that the family is compared once.
+        many = members.where(F.col("size") > LIMIT) if level == 1 else members
+        hubs = materialize(many.groupBy("node").agg(F.count(F.lit(1)).alias("hub")), "hubs")
+        each = many.join(hubs, "node").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("hub", (-F.col("node")).alias("back"), "n")).alias("h"))
+        each = materialize(each, "groups")
+        if level > 1:  # the largest component had its leader: now the next one has
+            top = each.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"))
+            each = each.join(materialize(top, "top"), "bucket").where(F.col("label") != F.col("top.label"))
+            best = F.max(F.struct("c", "h", "label"))
+        else:
+            best = F.max(F.struct("h", "label", "c"))
+        led = materialize(each.groupBy("bucket").agg(best.alias("b")).select("bucket", (-F.col("b.h.back")).alias("l2"), F.col("b.h.n").alias("n2"), F.col("b.label").alias("b2")), "led")
+        out = members.join(led, "bucket", "left")
+        return out.withColumns({"leader": F.coalesce("l2", "head.node"), "leader_n": F.coalesce("n2", "head.n"), "leader_label": F.coalesce("b2", "head.node")}).drop("l2", "n2", "b2", "head")
+
+    def compare(self, rows: DataFrame, level: int) -> DataFrame | None:
+        """One level over buckets (bucket, node, n, pos): its members share ``level``
+        shingles, the last one at pos. Returns the next level's buckets, if any."""
+        last = level == _levels(self.share)
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "n", "node")).alias("head")).where(F.col("size") > 1)
+        sizes = materialize(sizes, "sizes")
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        members = spread_join(rows, sizes, ["bucket"], "inner", "size", total, ["node"])
+        members = materialize(self.labelled(members), "members")
         # A leader is compared with those members whose length allows it.
-        star = members.where((F.col("node") != F.col("leader")) & self.similar_sizes("n", "leader_n"))
+        star = self.leaders(members, level).where((F.col("label") != F.col("leader_label")) & self.similar_sizes("n", "leader_n"))
         star = star.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
         self.verify(materialize(star.join(self.tested, ["x", "y"], "left_anti"), "star"))
-        open_members = self.labelled(members)
-        live = open_members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b")).select("bucket")
-        live = materialize(open_members.join(materialize(live, "live"), "bucket"), "members")
-        few = live.where(F.col("size") <= limit)
-        a, b = (few.select("bucket", F.col("node").alias(k), *(F.col(c).alias(c + k) for c in ("n", "pos", "d", "e", "label"))) for k in ("x", "y"))
-        pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("x") < F.col("y")) & (F.col("labelx") != F.col("labely")) & self.similar_sizes("nx", "ny") & self.may_overlap())
-        pairs = pairs.select("x", "y").distinct()
-        pairs = materialize(pairs.join(self.tested, ["x", "y"], "left_anti"), "pairs")
+        live = self.live(members.drop("head"))
+        few, many = live.where(F.col("size") <= LIMIT), live.where(F.col("size") > LIMIT)
+        nxt = None
+        if many.limit(1).count():
+            many = self.sized(many)
+            if not last:
+                many, nxt = self.refine(many, level)
+            self.meet(self.pairs(few, level).unionByName(self.across(many, level)))
+        else:
+            self.meet(self.pairs(few, level))
+        return nxt if nxt is not None and nxt.limit(1).count() else None
+
+    def meet(self, pairs: DataFrame) -> None:
+        pairs = materialize(pairs.distinct().join(self.tested, ["x", "y"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             self.verify(pairs)
-        large = live.where(F.col("size") > limit)
-        return self.differences(large) if large.limit(1).count() else None
 
-    def similar_sizes(self, a: str, b: str) -> Column:
+    def sized(self, members: DataFrame) -> DataFrame:
+        """The members of large buckets with the bucket's size, its largest component
+        (top) and how many ordered pairs of members of different components it has."""
+        each = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+        each = each.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label"))["label"].alias("top"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        each = materialize(each.withColumn("cross", F.col("size") * F.col("size") - F.col("same")).drop("same"), "sized")
+        total = each.agg(F.sum("size")).first()[0] or 0
+        return materialize(spread_join(members.drop("size"), each, ["bucket"], "inner", "size", total, ["node"]), "members")
+
+    def pairs(self, members: DataFrame, level: int) -> DataFrame:
+        """Pairs of a bucket's members that may be similar and aren't linked yet. Of the
+        shorter one (x) the place must be in the first half of its prefix."""
         p, q = self.share
-        return (F.col(a) * q >= F.col(b) * p) & (F.col(b) * q >= F.col(a) * p)
-
-    def may_overlap(self) -> Column:
-        """The positional filter. In the bucket of the first shingle that two members
-        share they share no earlier one, so at most what is left of the shorter rest; a
-        similar pair passes there, whatever its other buckets say."""
+        of = lambda k: members.select("bucket", F.col("node").alias(k), *(F.col(c).alias(c + k) for c in ("n", "pos", "label")))
+        x = of("x").where((F.col("nx") - F.col("posx") + (level - 1)) * (p + q) >= F.col("nx") * (2 * p))
+        found = x.join(of("y").hint("merge"), "bucket").where((F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("labelx") != F.col("labely")) & self.similar_sizes("nx", "ny") & self.may_overlap(level))
+        return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    def across(self, members: DataFrame, level: int) -> DataFrame:
+        """The same for large buckets: what isn't of the largest component meets all
+        others. Each member waits in one of the bucket's blocks, and those that ask visit
+        each block."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        of = lambda k: [F.col("node").alias(k), *(F.col(c).alias(c + k) for c in ("n", "pos", "label"))]
+        x = members.where(F.col("label") != F.col("top")).select("bucket", *of("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        y = members.select("bucket", *of("y"), (F.col("label") == F.col("top")).alias("main"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        found = x.join(y.hint("merge"), ["bucket", "block"]).where((F.col("main") | (F.col("x") < F.col("y"))) & (F.col("labelx") != F.col("labely")) & self.similar_sizes("nx", "ny") & self.may_overlap(level))
+        return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    def refine(self, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Those large buckets that are to be compared as they are, and the next level's
+        buckets of the others: their members by one more of the shingles that follow, in
+        a prefix that is one longer."""
         p, q = self.share
-        return F.least(F.col("dx") - F.col("posx"), F.col("dy") - F.col("posy")) * (2 * (p + q)) >= F.col("ex") + F.col("ey")
-
-    def differences(self, large: DataFrame) -> DataFrame:
-        """The next buckets: of each member of a large bucket the shingles in which it
-        differs from the leader. With d its differences, |x ^ y| = |dx ^ dy|, so x and y
-        link when |dx & dy| is at least half of (excess of x + excess of y), the excess
-        being |dx| - |x| c with c = (q - p) / (q + p). A member that the leader links has
-        excess at most |leader| c, and is only of use to one that the leader doesn't
-        link, whose excess is larger; nor can it share more than the other has. So each
-        needs a known overlap, and only a prefix of its differences makes buckets. Pairs
-        that link without any overlap all link to the member of least excess, and are
-        found there.
-        """
-        p, q = self.share
-        n = self.n
-        pairs = large.select(F.col("leader").alias("y"), F.col("node").alias("x")).distinct()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[list] = [[] for _ in range(7)]
-                for leader, node, (sx, sy, x, y) in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), _pairs_of_sets(b, n), strict=True):
-                    if not (sx and sy):
-                        continue
-                    more = np.setdiff1d(x, y, assume_unique=True)
-                    d = np.concatenate([more, np.setdiff1d(y, x, assume_unique=True)])
-                    over = len(d) * (q + p) - len(x) * (q - p)  # excess, times q + p
-                    most = (len(x) * q // p) * (q - p)  # of a partner of the greatest length
-                    least = len(y) * (q - p) if over <= len(y) * (q - p) else -most
-                    need = max(1, -(-(over + max(least, over - 2 * most)) // (2 * (q + p))))
-                    row = (leader, node, len(x), len(d), over, need, d.view(np.int64))
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-                kinds = (*[pa.int64()] * 6, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["leader", "node", "n", "d", "e", "need", "tokens"])
-
-        rows = materialize(self.with_texts(pairs).select("x", "y", "sx", "sy", "tx", "ty").mapInArrow(run, "leader long, node long, n long, d long, e long, need long, tokens array<long>"), "differences", BATCH)
-        least = rows.groupBy("leader").agg(F.min(F.struct("e", "node")).alias("least"))
-        least = materialize(least.select("leader", F.col("least.e").alias("e0"), F.col("least.node").alias("b")), "least")
-        near = rows.join(least, "leader").where((F.col("e") + F.col("e0") <= 0) & (F.col("node") != F.col("b")))
-        self.link(materialize(near.select(F.col("node").alias("a"), "b").distinct(), "links"))
-        # Differences rare first among the leader's members; a row's are gathered again to
-        # be ordered, which is as many as its text and the leader's have shingles at most.
-        of = rows.where(F.col("need") <= F.col("d")).select("leader", "node", "n", "d", "e", "need", F.explode("tokens").alias("t"))
-        counts = materialize(of.groupBy("leader", "t").agg(F.count(F.lit(1)).alias("c")), "counts")
-        put = of.join(counts, ["leader", "t"]).groupBy("leader", "node", "n", "d", "e", "need").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("all"))
-        nxt = put.select("leader", "node", "n", "d", "e", F.posexplode(F.slice("all", F.lit(1), (F.col("d") - F.col("need") + 1).cast("int"))).alias("pos", "x"))
-        nxt = nxt.where(F.col("x.c") > 1).select(F.xxhash64("leader", "x.t").alias("bucket"), "node", "n", "pos", "d", "e")
-        return materialize(nxt, "buckets")
+        wide = large.where(F.col("cross") > F.col("size") * LIMIT)
+        k = F.col("n") - F.ceil(F.col("n") * p / q) + 1
+        tokens = self.nodes.select("node", "tokens").join(wide.select("node").distinct(), "node", "left_semi")
+        rest = F.slice("tokens", F.col("pos") + 2, F.greatest(k + level - F.col("pos") - 1, F.lit(0)).cast("int"))
+        nxt = wide.join(tokens, "node").select("bucket", "node", "n", "label", "pos", F.posexplode(rest).alias("i", "t"))
+        nxt = materialize(nxt.select(F.col("bucket").alias("parent"), F.xxhash64("bucket", "t").alias("bucket"), "node", "n", (F.col("pos") + 1 + F.col("i")).cast("int").alias("pos"), "label"), "refined")
+        each = nxt.groupBy("parent", "bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+        each = each.groupBy("parent", "bucket").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        each = materialize(each.withColumn("less", F.col("k") * F.col("k") - F.col("same")).where(F.col("less") > 0), "several")
+        sums = each.groupBy("parent").agg(F.sum("less").alias("less")).withColumnRenamed("parent", "bucket")
+        # A bucket without any smaller ones holds no similar pair.
+        pays = wide.select("bucket", "cross").distinct().join(sums, "bucket", "left").where(F.coalesce("less", F.lit(0)) * 2 <= F.col("cross"))
+        pays = materialize(pays.select(F.col("bucket").alias("parent")), "pays")
+        stay = large.join(pays.select(F.col("parent").alias("bucket")), "bucket", "left_anti")
+        kept = materialize(each.join(pays, "parent", "left_semi").select("bucket", "k"), "kept")
+        total = kept.agg(F.sum("k")).first()[0] or 0
+        return stay, materialize(spread_join(nxt.select("bucket", "node", "n", "pos"), kept, ["bucket"], "left_semi", "k", total, ["node"]), "buckets")
 
 
 def _pairs_of_sets(b: pa.RecordBatch, n: int) -> Iterator[tuple[bool, bool, np.ndarray, np.ndarray]]:
@@ -369,13 +412,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, share: tuple[int, int] = (90
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     prefixes = _prefixes(usable, n, share, counts).join(sets, ["doc_id", "set"])
     nodes = materialize(prefixes.select("node", "doc_id", "set", "n", "tokens", "hist"), "nodes", BATCH)
-    rows = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "bucket"))
-    shared = materialize(rows.groupBy("bucket").count().where(F.col("count") > 1).select("bucket"), "shared")
-    shingles = rows.join(shared, "bucket").select("bucket", "node", "n", "pos", F.col("n").alias("d"), (F.col("n") * (2 * share[0])).alias("e"))
-    join = _Join(usable, nodes.drop("tokens"), n, share)
-    todo = join.compare(materialize(shingles, "buckets"), SMALL)
+    k = (F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1).cast("int")
+    rows = nodes.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), k)).alias("pos", "bucket"))
+    join = _Join(usable, nodes, n, share)
+    todo, level = rows, 1
     while todo is not None:
-        todo = join.compare(todo, SMALL)
+        todo, level = join.compare(todo, level), level + 1
     # Rows that repeat a doc_id tie what their texts link.
     repeated = mine.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.count_distinct("set").alias("k")).where(F.col("k") > 1)
     if repeated.limit(1).count():

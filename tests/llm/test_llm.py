@@ -458,9 +458,9 @@ def family(rng, size, words, most):
     return out
 
 
-@pytest.mark.parametrize(("n", "p", "q", "small"), [(3, 90, 100, 2000), (3, 90, 100, 4), (5, 80, 100, 4), (5, 4, 5, 2000)])
-def test_components_equal_all_pairs(spark, monkeypatch, n, p, q, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
+@pytest.mark.parametrize(("n", "p", "q", "limit"), [(3, 90, 100, 200), (3, 90, 100, 4), (5, 80, 100, 4), (5, 4, 5, 200), (2, 1, 2, 3)])
+def test_components_equal_all_pairs(spark, monkeypatch, n, p, q, limit):
+    monkeypatch.setattr(ngram_join, "LIMIT", limit)
     rng = random.Random(13)
     texts = [*ODD, "One TWO", *family(rng, 60, 120, 5), *family(rng, 30, 40, 2), *[prose(30, rng) for _ in range(30)], "é É ß", "É é ß"]
     texts += [texts[12]] * 3
@@ -470,6 +470,34 @@ def test_components_equal_all_pairs(spark, monkeypatch, n, p, q, small):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_components_of_buckets_with_thousands_of_members(spark):
+    """Sets of 40 of 60 common words: any word is in thousands of them."""
+    rng = np.random.default_rng(5)
+    sets = np.zeros((5000, 60), bool)
+    for i in range(len(sets)):
+        if i % 10 == 9:  # one word of another set replaced: near copies, and chains of them
+            at = rng.integers(0, i)
+            sets[i] = sets[at]
+            sets[i, rng.choice(np.flatnonzero(sets[i]))] = False
+            sets[i, rng.choice(np.flatnonzero(~sets[i]))] = True
+        else:
+            sets[i, rng.choice(60, 40, replace=False)] = True
+    both = sets.astype(np.int32) @ sets.T.astype(np.int32)
+    linked = 100 * both >= 90 * (80 - both)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(linked, root[None, :], len(sets)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    words = np.array([f"w{i}" for i in range(60)])
+    texts = [" ".join(words[x]) for x in sets]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = rows(ngram_join.jaccard_components(d, 1))
+    assert [got[i]["component_id"] for i in range(len(sets))] == root.tolist()
+    assert len(set(root.tolist())) < 4600
+
+
 def test_components_with_null_and_repeated_ids(spark):
     a, b = prose(30), prose(30)
     d = spark.createDataFrame([(1, a), (None, a), (2, b), (3, a), (3, b), (2, b)], "doc_id long, text string")
