@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -31,13 +32,16 @@ from corvine.session import materialize
 
 #: Cells of the count sketch that orders shingles; its size doesn't grow with the data.
 SKETCH_BITS = 18
-#: Cells of the suffix filter's histograms.
-HIST_BITS = 6
+#: Longs of the suffix filter's sketches, 64 cells each.
+SKETCH_LONGS = 16
 #: Buckets whose members would meet more members of other components, on average, are
 #: refined by a further shingle if that pays, up to so many in all. Members are compared
 #: in places of BLOCK members each.
 LIMIT = 200
 BLOCK = 1000
+#: So often members of large buckets that are apart from the largest component are
+#: compared with the most promising others before they are with all that may be similar.
+TURNS = 2
 DEPTH = 4
 #: Rows of an Arrow batch of whole texts.
 BATCH = 500
@@ -163,13 +167,15 @@ def _levels(share: tuple[int, int]) -> int:
 
 
 def _prefixes(docs: DataFrame, n: int, share: tuple[int, int], counts) -> DataFrame:
-    """Of each document with words its longest prefix, rare first, and its histogram."""
+    """Of each document with words its longest prefix, rare first, and the
+    sketch of its set: a bit for each cell, set if the cell holds an odd number. Sets
+    whose sketches differ in d bits differ in d shingles at least."""
     more = _levels(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counts.value
         for b in batches:
-            ids, keys, tokens, hists = [], [], [], []
+            ids, keys, tokens, sketches = [], [], [], []
             for doc, s in zip(b.column("doc_id"), _sets(b.column("text"), n), strict=True):
                 if len(s):
                     k = len(s) - _least_overlap(len(s), share) + more
@@ -177,28 +183,11 @@ def _prefixes(docs: DataFrame, n: int, share: tuple[int, int], counts) -> DataFr
                     ids.append(doc.as_py())
                     keys.append(_key(s))
                     tokens.append(s[order[:k]].view(np.int64))
-                    hist = np.bincount((s & np.uint64((1 << HIST_BITS) - 1)).astype(np.int64), minlength=1 << HIST_BITS)
-                    hists.append(np.minimum(hist, 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(hists, pa.binary())], names=["doc_id", "set", "tokens", "hist"])
+                    odd = np.bincount((s & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "set", "tokens", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, set binary, tokens array<long>, hist binary")
-
-
-def _near_histograms(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The suffix filter: pairs (x, y, nx, ny, hx, hy) whose histograms differ by more
-    than similar sets of their sizes can are dropped."""
-    p, q = share
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                hx, hy = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1).astype(np.int32) for c in ("hx", "hy"))
-                total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
-                # |x ^ y| <= total * (q - p) / (q + p)
-                ok = np.abs(hx - hy).sum(1) * (p + q) <= total * (q - p)
-                yield pa.RecordBatch.from_arrays([b.column("x").filter(pa.array(ok)), b.column("y").filter(pa.array(ok))], names=["x", "y"])
-
-    return pairs.mapInArrow(run, "x long, y long")
+    return docs.mapInArrow(run, "doc_id long, set binary, tokens array<long>, sketch array<long>")
 
 
 class _Join:
@@ -222,11 +211,15 @@ class _Join:
         return pairs.join(t.select(F.col("node").alias("x"), F.col("set").alias("sx"), F.col("text").alias("tx")), "x").join(t.select(F.col("node").alias("y"), F.col("set").alias("sy"), F.col("text").alias("ty")), "y")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Compare pairs (x, y) that pass the suffix filter, by their exact sets."""
+        """Compare pairs (x, y) whose sketches, which stand for all of a set's suffix, allow
+        it, by their exact sets."""
         p, q = self.share
-        size = self.nodes.select("node", "n", "hist")
-        full = pairs.join(size.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hist").alias("hx")), "x").join(size.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("hist").alias("hy")), "y")
-        left = materialize(_near_histograms(full.select("x", "y", "nx", "ny", "hx", "hy"), self.share), "pairs")
+        size = self.nodes.select("node", "n", "sketch")
+        of = lambda k: size.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        apart = sum((F.bit_count(F.get("sx", F.lit(i)).bitwiseXOR(F.get("sy", F.lit(i)))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.get("sx", F.lit(0)).bitwiseXOR(F.get("sy", F.lit(0)))))
+        # |x ^ y| <= total * (q - p) / (q + p)
+        left = pairs.join(of("x"), "x").join(of("y"), "y").where(apart * (p + q) <= (F.col("nx") + F.col("ny")) * (q - p))
+        left = materialize(left.select("x", "y"), "pairs")
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +297,9 @@ class _Join:
         nxt = None
         if many.limit(1).count():
             many = self.sized(many)
+            for _ in range(TURNS):
+                self.meet(self.across(many, level, nearest=True))
+                many = self.sized(self.live(many.drop("size", "top", "cross")))
             if not last:
                 many, nxt = self.refine(many, level)
             self.meet(self.pairs(few, level).unionByName(self.across(many, level)))
@@ -334,16 +330,37 @@ class _Join:
         found = x.join(of("y").hint("merge"), "bucket").where((F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("labelx") != F.col("labely")) & self.similar_sizes("nx", "ny") & self.may_overlap(level))
         return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
-    def across(self, members: DataFrame, level: int) -> DataFrame:
+    def across(self, members: DataFrame, level: int, nearest: bool = False) -> DataFrame:
         """The same for large buckets: what isn't of the largest component meets all
-        others. Each member waits in one of the bucket's blocks, and those that ask visit
-        each block."""
+        others, a BLOCK of the ones with a BLOCK of the others at a time, under the
+        suffix filter too. With ``nearest`` only the most promising of a block is
+        returned for each: one link joins a copy to its family, however many it has."""
+        p, q = self.share
+        rows = members.join(self.nodes.select("node", "sketch"), "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        of = lambda k: [F.col("node").alias(k), *(F.col(c).alias(c + k) for c in ("n", "pos", "label"))]
-        x = members.where(F.col("label") != F.col("top")).select("bucket", *of("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        y = members.select("bucket", *of("y"), (F.col("label") == F.col("top")).alias("main"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        found = x.join(y.hint("merge"), ["bucket", "block"]).where((F.col("main") | (F.col("x") < F.col("y"))) & (F.col("labelx") != F.col("labely")) & self.similar_sizes("nx", "ny") & self.may_overlap(level))
-        return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cols = ["bucket", "node", "n", "pos", "label", "sketch"]
+        x = rows.where(F.col("label") != F.col("top")).select(*cols, F.col("own").alias("u"), F.col("other").alias("v"))
+        y = rows.select(*[F.col(c).alias(f"y_{c}") for c in cols], F.col("other").alias("y_u"), F.col("own").alias("y_v"))
+
+        def run(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(xs) and len(ys):
+                b, m, at, lab, ids = np.stack(ys["y_sketch"].to_numpy()), *(ys[f"y_{c}"].to_numpy() for c in ("n", "pos", "label", "node"))
+                a, nx, px, lx, ix = np.stack(xs["sketch"].to_numpy()), *(xs[c].to_numpy() for c in ("n", "pos", "label", "node"))
+                for i in range(len(xs)):
+                    far = np.bitwise_count((a[i] ^ b).view(np.uint64)).sum(1, dtype=np.int64)  # of a negative number it counts the absolute's
+                    rest = np.minimum(nx[i] - px[i], m - at) + (level - 1)
+                    ok = (lab != lx[i]) & (far * (p + q) <= (nx[i] + m) * (q - p)) & (rest * (p + q) >= (nx[i] + m) * p) & (nx[i] * q >= m * p) & (m * q >= nx[i] * p)
+                    hit = np.flatnonzero(ok)
+                    if nearest and len(hit):
+                        hit = hit[[np.lexsort((ids[hit], far[hit]))[0]]]
+                    out.append(np.stack([np.minimum(ix[i], ids[hit]), np.maximum(ix[i], ids[hit])], 1))
+            both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            return pd.DataFrame({"x": both[:, 0], "y": both[:, 1]})
+
+        key = ["bucket", "u", "v"]
+        return x.groupBy(*key).cogroup(y.groupBy(*(f"y_{k}" for k in key))).applyInPandas(run, "x long, y long")
 
     def refine(self, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Those large buckets that are to be compared as they are, and the next level's
@@ -411,7 +428,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, share: tuple[int, int] = (90
     sets = mine.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     prefixes = _prefixes(usable, n, share, counts).join(sets, ["doc_id", "set"])
-    nodes = materialize(prefixes.select("node", "doc_id", "set", "n", "tokens", "hist"), "nodes", BATCH)
+    nodes = materialize(prefixes.select("node", "doc_id", "set", "n", "tokens", "sketch"), "nodes", BATCH)
     k = (F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1).cast("int")
     rows = nodes.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), k)).alias("pos", "bucket"))
     join = _Join(usable, nodes, n, share)
