@@ -299,11 +299,36 @@ def test_mix_meets_targets_with_whole_copies(spark):
     assert len(twice) == 2 * len(texts)
 
 
-def test_inclusion_follows_the_odds():
-    u = (np.arange(1000) + 0.5) / 1000
-    for pi in (0.1, 0.5, 0.9):
-        q = u * (1 - pi) / (u * (1 - pi) + pi * (1 - u))
-        assert abs((q < 0.5).mean() - pi) < 0.002
+def test_inclusion_follows_the_odds(spark):
+    """50 sources of 240 documents of like sizes draw for themselves: how often those of a
+    size are taken must be their probability. As many sources take 0.6 of theirs."""
+    sizes = [5 + 3 * (i % 40) for i in range(240)]
+    total = sum(sizes)
+    data = [(1000 * s + i, "w " * n, f"a{s:03}") for s in range(50) for i, n in enumerate(sizes)]
+    data += [(1_000_000 + s, "w " * (total // 5), f"b{s:03}") for s in range(50)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = [r for r in mixing.plan_mix(d, weights=(1,)).collect() if r["source"][0] == "a"]
+    goal = got[0]["target"]
+    assert abs(goal / (0.6 * total) - 1) < 0.01 and {r["copies"] for r in got} == {0, 1}
+    often, taken = np.zeros(40), Counter()
+    for r in got:
+        often[r["doc_id"] % 1000 % 40] += r["copies"] / 300
+        taken[r["source"]] += r["taken"]
+    scale = goal / sum(n**1.5 for n in sizes)
+    want = scale * np.array(sizes[:40]) ** 0.5
+    assert want.max() < 1 and np.abs(often - want).max() < 0.11 and abs((often - want).mean()) < 0.01 and np.corrcoef(often, want)[0, 1] > 0.97
+    assert max(abs(x / goal - 1) for x in taken.values()) < 0.01
+
+
+def test_certain_documents_and_clashing_columns(spark):
+    """One document that is nearly all of its source, and names that the mix uses itself."""
+    data = [(i, "w " * n, "s", i) for i, n in enumerate([1, 1, 1, 1000])] + [(9, "w " * 500, "t", 9)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, _id long").withColumns({c: F.col("_id") for c in ("own", "tie", "id", "copies", "c0", "copy", "_own")})
+    got = mixing.mix(d)
+    assert got.columns == d.columns and all(r["own"] == r["c0"] == r["_own"] == r["doc_id"] for r in got.collect())
+    plan = rows(mixing.plan_mix(d))
+    assert all(r["taken"] <= 3 * r["size"] for r in plan.values())
+    assert mixing.plan_mix(d.limit(0)).count() == 0
 
 
 # ---- 6 -------------------------------------------------------------------------------
