@@ -233,17 +233,21 @@ def encoded_spans(text: str, start: re.Pattern[str], run: re.Pattern[str], least
 
 
 def pem_spans(text: str) -> list[Span]:
+    """Armour around what parses as a key, or with the headers of an enciphered one
+    around whole blocks of a cipher. Armour holds no armour, so each is looked through
+    up to the next one's begin only."""
     out: list[Span] = []
-    gone: set[str] = set()
-    for m in PEM_BEGIN.finditer(text):
+    begins = [*PEM_BEGIN.finditer(text)]
+    for i, m in enumerate(begins):
         mark = f"-----END {m[1]}-----"
-        at = -1 if m[1] in gone else text.find(mark, m.end())
+        at = text.find(mark, m.end(), begins[i + 1].start() if i + 1 < len(begins) else len(text))
         if at < 0:
-            gone.add(m[1])
             continue
         lines = [x.strip() for x in text[m.end() : at].replace("\\n", "\n").split("\n")]
-        code = "".join(x for x in lines if ":" not in x)
-        if "ENCRYPTED" in text[m.end() : at] or key_kind(decode_base64(code)):
+        heads = dict(x.replace(" ", "").split(":", 1) for x in lines if ":" in x)
+        raw = decode_base64("".join(x for x in lines if ":" not in x))
+        enciphered = heads.get("Proc-Type") == "4,ENCRYPTED" and "," in heads.get("DEK-Info", "")
+        if (enciphered and raw and len(raw) >= 16 and len(raw) % 8 == 0) or key_kind(raw):
             out.append((m.start(), at + len(mark), "pem"))
     return out
 
@@ -269,8 +273,9 @@ def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Keep every other column and add n_assign, n_access, n_hex, base_sha256, spans.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans (the
-    digest is that of an empty string). A narrow map over whole texts; repeated rows are
+    Offsets are code points, ends exclusive. Spans of one start come in the order of
+    KINDS, equal ones once. Null and empty texts have no spans (the digest is that of an
+    empty string); an empty table gives an empty result. A narrow map over whole texts; repeated rows are
     scanned one by one; input columns with the names of results are replaced.
     """
     new = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -28,6 +28,9 @@ ARCHIVE_BYTES = 8 << 20
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
 PAGE_HEADER = "X-Page-Id"
+REFERS_PAGE = "X-Refers-To-Page-Id"
+#: Compressed bytes that the reader takes at a time.
+READ_BYTES = 1 << 14
 # Fixed values of the two formats.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,9 +129,10 @@ class WarcRecord:
         return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + self.block + b"\r\n\r\n"
 
 
-def to_warc(r: ArcRecord, refers_to: str | None = None) -> WarcRecord:
-    """The WARC record of an ARC record. With ``refers_to`` (the page of the response
-    with an equal payload) a revisit: the HTTP headers without the payload."""
+def to_warc(r: ArcRecord, refers_to: tuple[str, str] | None = None) -> WarcRecord:
+    """The WARC record of an ARC record. With ``refers_to`` (page and URL of the response
+    with an equal payload, of the same date) a revisit: the HTTP headers without the
+    payload, and that record's identifier, URL and date."""
     head, payload = split_http(r.content)
     digest = hashlib.sha256(payload).hexdigest()
     page = http_header(head, PAGE_HEADER) or ""
@@ -145,7 +149,8 @@ def to_warc(r: ArcRecord, refers_to: str | None = None) -> WarcRecord:
         "Content-Type": "application/http; msgtype=response" if head else r.content_type,
     }
     if kind == "revisit":
-        h |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To-Page": refers_to}
+        page, url = refers_to
+        h |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(page, url, r.date, digest), "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": iso_date(r.date), REFERS_PAGE: page}
     return WarcRecord(h, block)
 
 
@@ -156,12 +161,16 @@ def write_warc(records: list[WarcRecord]) -> bytes:
 
 def read_warc(raw: bytes) -> Iterator[WarcRecord]:
     """The records of a .warc.gz. Raises ValueError where it isn't one."""
-    while raw:
-        z = zlib.decompressobj(31)
-        data = z.decompress(raw) + z.flush()
-        if not z.eof:
-            raise ValueError("gzip member without an end")
-        raw = z.unused_data
+    rest, read = memoryview(raw), 0
+    while read < len(raw):
+        z, got = zlib.decompressobj(31), []
+        while not z.eof:
+            if read >= len(raw):
+                raise ValueError("gzip member without an end")
+            got.append(z.decompress(rest[read : read + READ_BYTES]))
+            read = min(read + READ_BYTES, len(raw))
+        read -= len(z.unused_data)
+        data = b"".join(got)
         at = data.find(b"\r\n\r\n")
         if not data.startswith(b"WARC/") or at < 0:
             raise ValueError("not a WARC record")
@@ -173,14 +182,19 @@ def read_warc(raw: bytes) -> Iterator[WarcRecord]:
         yield WarcRecord(headers, data[at + 4 : at + 4 + n])
 
 
+def _page_url(page: str, url: str | None) -> str:
+    return _clean(url or f"urn:page:{page}")
+
+
 def _page_record(page: str, url: str | None, html: bytes, date: str) -> ArcRecord:
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{PAGE_HEADER}: {page}\r\nContent-Length: {len(html)}\r\n\r\n"
-    return ArcRecord(url or f"urn:page:{page}", "0.0.0.0", date, "text/html", head.encode() + html, {"result": "200"})
+    return ArcRecord(_page_url(page, url), "0.0.0.0", date, "text/html", head.encode() + html, {"result": "200"})
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
-    """Add payload_digest and refers_to (the smallest page_id of an equal payload of at
-    least LEAST_REVISIT bytes, null for that page itself and for single payloads).
+    """Add payload_digest, refers_to (the smallest page_id of an equal payload of at
+    least LEAST_REVISIT bytes, null for that page itself and for single payloads) and
+    refers_url, that page's URL.
 
     Only digests and ids are aggregated, with partial minima before the shuffle. The
     table of repeated digests is written, so its size is known: the pages, which carry
@@ -190,25 +204,27 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     p = pages.select("page_id", "url", body.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     long = p.where(F.octet_length("payload") >= LEAST_REVISIT)
-    firsts = long.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first_page").isNotNull())
-    firsts = materialize(firsts.select(F.col("payload_digest").alias("d"), "first_page"), "firsts")
+    firsts = long.groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
+    firsts = materialize(firsts.select(F.col("payload_digest").alias("d"), F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url")), "firsts")
     out = p.join(firsts, (p["payload_digest"] == firsts["d"]) & (F.octet_length("payload") >= LEAST_REVISIT), "left")
-    return out.select("page_id", "url", "payload", "payload_digest", F.when(~F.col("first_page").eqNullSafe(F.col("page_id")), F.col("first_page")).alias("refers_to"))
+    other = ~F.col("first_page").eqNullSafe(F.col("page_id"))
+    return out.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("first_page")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
 
 
-def write_archives(marked: DataFrame, version: int = 1, date: str = "20000101000000") -> DataFrame:
+def write_archives(marked: DataFrame, version: int | None = None, date: str = "20000101000000") -> DataFrame:
     """Pack the pages into ARC archives of bounded size and convert those; one row an
-    archive: name, arc_bytes, records, warc (the .warc.gz)."""
+    archive: name, arc_bytes, records, warc (the .warc.gz). Without a version an archive
+    has either, by its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[ArcRecord] = []
-        refers: list[str | None] = []
+        refers: list[tuple[str, str] | None] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal size
             name = hashlib.sha256("".join(http_header(split_http(r.content)[0], PAGE_HEADER) or "" for r in held).encode()).hexdigest()[:16]
-            arc = write_arc(held, f"{name}.arc", version)
+            arc = write_arc(held, f"{name}.arc", version or 1 + int(name, 16) % 2)
             warc = write_warc([to_warc(r, to) for r, to in zip(parse_arc(arc), refers, strict=True)])
             batch = pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([len(arc)], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([warc], pa.binary())], names=["name", "arc_bytes", "records", "warc"])
             held.clear()
@@ -217,21 +233,21 @@ def write_archives(marked: DataFrame, version: int = 1, date: str = "20000101000
             return batch
 
         for b in batches:
-            for page, url, html, to in zip(*(b.column(c) for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for page, url, html, to, to_url in zip(*(b.column(c) for c in ("page_id", "url", "payload", "refers_to", "refers_url")), strict=True):
                 held.append(_page_record("null" if page.as_py() is None else str(page.as_py()), url.as_py(), html.as_py(), date))
-                refers.append(None if to.as_py() is None else str(to.as_py()))
+                refers.append(None if to.as_py() is None else (str(to.as_py()), _page_url(str(to.as_py()), to_url.as_py())))
                 size += len(held[-1].content)
                 if size >= ARCHIVE_BYTES:
                     yield close()
         if held:
             yield close()
 
-    return marked.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "name string, arc_bytes long, records long, warc binary")
+    return marked.select("page_id", "url", "payload", "refers_to", "refers_url").mapInArrow(run, "name string, arc_bytes long, records long, warc binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row a record of the archives: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, record_id, target_uri, warc_date, digest_ok.
+    record_type, refers_to, record_id, target_uri, warc_date, digest_ok, refers_id.
 
     A response's digest and length are those of the payload read; a revisit's are those
     that its headers state.
@@ -248,18 +264,18 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     revisit = r.headers["WARC-Type"] == "revisit"
                     digest = stated if revisit else hashlib.sha256(payload).hexdigest()
                     n = int(http_header(head, "Content-Length") or 0) if revisit else len(payload)
-                    to = r.headers.get("WARC-Refers-To-Page")
-                    rows.append((int(page) if page not in (None, "null") else None, n, digest, r.headers["WARC-Type"], int(to) if to else None, r.headers["WARC-Record-ID"], r.headers["WARC-Target-URI"].encode("utf-8", "replace").decode(), r.headers["WARC-Date"], digest == stated))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "warc_date", "digest_ok")
+                    to = r.headers.get(REFERS_PAGE)
+                    rows.append((int(page) if page not in (None, "null") else None, n, digest, r.headers["WARC-Type"], int(to) if to else None, r.headers["WARC-Record-ID"], r.headers["WARC-Target-URI"].encode("utf-8", "replace").decode(), r.headers["WARC-Date"], digest == stated, r.headers.get("WARC-Refers-To")))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string())
+            names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "warc_date", "digest_ok", "refers_id")
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string, digest_ok boolean"
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string, digest_ok boolean, refers_id string"
     return archives.select("warc").mapInArrow(run, schema)
 
 
-def archive_pages(pages: DataFrame, version: int = 1) -> DataFrame:
+def archive_pages(pages: DataFrame, version: int | None = None) -> DataFrame:
     """Write every page as a WARC record by way of ARC, and read the archives back.
 
     The archives are a table in the shared folder, one row an archive, committed by

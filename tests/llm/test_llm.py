@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -73,6 +74,20 @@ def test_neighbours_with_copies_ties_and_unusable_vectors(spark, leaf):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
 
 
+def test_few_leaves_find_the_neighbours_of_clustered_doubles(spark):
+    """12 of some 380 leaves are probed, against brute force over everything."""
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((60, 16)) * 3
+    x = np.concatenate([m + 0.3 * rng.standard_normal((60, 16)) for m in middle])
+    vecs = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, leaf=64, probes=12).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    want = brute_nearest(vecs)
+    assert got.keys() == want.keys() and np.mean([len(got[q].keys() & {i for _, i in w}) / 20 for q, w in want.items()]) > 0.9
+    assert all(abs(s - float((x[q] * x[i]).sum())) < 1e-12 for q, g in got.items() for i, s in g.items())
+
+
 def test_probes_are_tuned_to_the_recall_that_is_asked(spark):
     x = np.random.default_rng(2).standard_normal((4000, 32)).astype(np.float32)
     f = ann.fit_forest(ann.lift(x, 8.0), len(x), 4, 256)
@@ -244,6 +259,36 @@ def test_encoded_keys_are_found_within_runs_in_armour_and_over_lines():
     assert secret_scan.structural_spans(coded[:-60]) == []
 
 
+def test_armour_is_parsed_and_not_searched_for_words():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = base64.b64encode(bytes(range(48))).decode()
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    good = f"{begin}\n{heads}{body}\n{end}"
+    assert secret_scan.structural_spans(f"x {good} y") == [(2, 2 + len(good), "pem")]
+    for bad in (f"{begin}\nhello ENCRYPTED world\n{end}", f"{begin}\n{body}\n{end}", f"{begin}\n{heads}{body[:-8]}\n{end}", f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{end}"):
+        assert secret_scan.structural_spans(bad) == [], bad
+    began = time.process_time()
+    assert secret_scan.structural_spans((begin + "x" * 50) * 40_000 + "\n" + good) == [((len(begin) + 50) * 40_000 + 1, (len(begin) + 50) * 40_000 + 1 + len(good), "pem")]
+    assert time.process_time() - began < 3
+
+
+def test_spans_of_keys_equal_the_places_they_were_put():
+    rng = random.Random(21)
+    kinds = {"der": base64.b64encode(PKCS8).decode(), "pem": f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(PKCS8).decode()}\n-----END PRIVATE KEY-----"}
+    for _ in range(60):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 6)):
+            text += prose(rng.randrange(1, 30), rng) + rng.choice([" ", "\n", " é😀 ", "; "])
+            kind = rng.choice([*kinds])
+            want.append((len(text), len(text) + len(kinds[kind]), kind))
+            text += kinds[kind] + rng.choice([" ", "\n", ". "])
+        got = secret_scan.structural_spans(text)
+        assert [x for x in got if x[2] == "pem"] == [x for x in want if x[2] == "pem"]
+        assert {x for x in want if x[2] == "der"} <= set(got)
+        inside = lambda a, b: any(x <= a and b <= y for x, y, _ in want)
+        assert all(inside(a, b) for a, b, _ in got)
+
+
 def test_base_spans_equal_plain_patterns():
     rng = random.Random(6)
     bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abc", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJKLMNOP", "é", "-", "\n"]
@@ -373,6 +418,20 @@ def test_pages_come_back_from_archives(spark, version):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_revisits_name_the_record_that_they_repeat_and_long_archives_are_read_in_linear_time(spark):
+    same = "z" * 300
+    pages = spark.createDataFrame([(i, f"http://h/ {i}", same) for i in range(5, 9)], "page_id long, url string, html string")
+    got = rows(warc.archive_pages(pages.coalesce(1)), "page_id")
+    assert {got[i]["refers_id"] for i in (6, 7, 8)} == {got[5]["record_id"]} and got[5]["refers_id"] is None
+    r = warc.ArcRecord("http://x", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.0 200 OK\r\n\r\n" + random.Random(1).randbytes(2000))
+    raw = warc.write_warc([warc.to_warc(r)]) * 8000
+    began = time.process_time()
+    assert sum(1 for _ in warc.read_warc(raw)) == 8000
+    assert time.process_time() - began < 5
+    with pytest.raises(ValueError):
+        list(warc.read_warc(raw[:-5]))
+
+
 def test_arc_headers_are_parsed_by_version():
     r = [warc.ArcRecord("http://x/a b", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi"), warc.ArcRecord("dns:x", "1.2.3.4", "20200102", "text/dns", b"")]
     for v in (1, 2):
