@@ -38,35 +38,32 @@ def _order(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Of each document its lines with words: places, two hashes, words. Texts are split
-    and matched once. Equal rows are one document; rows of one id with several texts are
-    several."""
+def _windows(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """doc, of (a hash of the text), and ``all``: an array of windows over the lines with
+    words (f: the least hash, p: its place, the last of equal ones; start, size; id, id2;
+    a, z: places of the first and last line in the text). Texts are split and matched
+    once. Equal rows are one document; rows of one id with several texts are several."""
     one = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w"))
     worded = F.filter(F.transform(F.split("text", "\n"), one), lambda x: x["w"] > 0)
-    return docs.select(_order().alias("doc"), F.xxhash64("text").alias("of"), worded.alias("lines"))
 
-
-def _windows(lines: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """doc, of, and ``all``: an array of windows (f: the least hash, p: its place, the
-    last of equal ones; start, size; id, id2; a, z: places of the first and last line in
-    the text)."""
-    lines = lines.where(F.size("lines") > 0)
-    start = F.sequence(F.lit(0), F.size("lines") - 1)
-
-    def of(i: Column, size: int) -> Column:
-        x = [F.get("lines", i + j) for j in range(size)]
+    def of(lines: Column, i: Column, size: int) -> Column:
+        x = [F.get(lines, i + j) for j in range(size)]
         h = [y["h"] for y in x]
         least = F.least(*h) if size > 1 else h[0]
         p = F.lit(0)
         for j in range(size):
             p = F.when(h[j] == least, F.lit(j)).otherwise(p)
-        good = (i + size <= F.size("lines")) & ((sum((y["w"] for y in x[1:]), x[0]["w"]) >= min_words) if size < min_lines else F.lit(True))
+        good = (i + size <= F.size(lines)) & ((sum((y["w"] for y in x[1:]), x[0]["w"]) >= min_words) if size < min_lines else F.lit(True))
         ids = F.xxhash64(F.lit(size), *h).alias("id"), F.hash(F.lit(size), *[y["g"] for y in x]).alias("id2")
         return F.when(good, F.struct(least.alias("f"), (i + p).alias("p"), i.alias("start"), F.lit(size).alias("size"), *ids, x[0]["at"].alias("a"), x[-1]["at"].alias("z")))
 
-    every = F.flatten(F.transform(start, lambda i: F.filter(F.array(*[of(i, s) for s in range(1, min_lines + 1)]), lambda x: x.isNotNull())))
-    return lines.select("doc", "of", every.alias("all"))
+    def every(lines: Column) -> Column:
+        start = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: i < F.size(lines))
+        return F.flatten(F.transform(start, lambda i: F.filter(F.array(*[of(lines, i, s) for s in range(1, min_lines + 1)]), lambda x: x.isNotNull())))
+
+    # As the only item of an array the lines are a lambda's variable, made once.
+    texts = docs.where(F.col("text").isNotNull())
+    return texts.select(_order().alias("doc"), F.xxhash64("text").alias("of"), F.get(F.transform(F.array(worded), every), F.lit(0)).alias("all"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -74,7 +71,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     document (by id and hash of the text) with an earlier place: lines first..last of its
     text that have words repeat those of from_doc, ``shift`` lines with words before or
     after."""
-    windows = materialize(_windows(materialize(_lines(docs), "lines"), min_lines, min_words), "windows")
+    windows = materialize(_windows(docs, min_lines, min_words), "windows").where(F.size("all") > 0)
     # A fingerprint is a position, however many windows choose it; equal rows are one.
     prints = windows.select("doc", "of", F.explode(F.array_distinct(F.transform("all", lambda x: F.struct(x["f"].alias("f"), x["p"].alias("p"))))).alias("x"))
     at = F.struct("doc", "of", "x.p")
