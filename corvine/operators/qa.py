@@ -3,29 +3,33 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.functions.text import is_blank
+from corvine.functions.text import SPACE, is_blank
 
 NONE = "NO_ANSWER"
-_FENCE = re.compile(r"```(?:json)?\s*\n(.*?)\n```", re.S)
 
 
-def parse_answer(raw: str) -> tuple[str | None, int | None]:
-    """answer and citation of a reply that is JSON as a whole, or in one fence; (None,
-    None) for anything else. A boolean is no citation."""
-    m = _FENCE.fullmatch(raw.strip())
-    try:
-        v = json.loads(m[1] if m else raw)
-        a, c = v["answer"], v["citation"]
-    except (ValueError, TypeError, KeyError):
-        return None, None
-    return (a, c) if isinstance(a, str) and type(c) is int else (None, None)
+def strip(c: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def read_reply(raw: Column) -> Column:
+    """A struct of answer and citation from a reply that is JSON as a whole, or in one
+    fence with nothing around it; both null unless the answer is a string and the
+    citation a whole number (a boolean is none)."""
+    whole = strip(raw)
+    fenced = F.regexp_extract(whole, "(?s)^`{3}(?:json)?\\s*\\n(.*?)\\n`{3}$", 1)
+    value = F.try_parse_json(F.when(fenced != "", fenced).otherwise(whole))
+    part = lambda name, kind: F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) == kind, F.try_variant_get(value, f"$.{name}", kind))
+    answer, citation = part("answer", "STRING"), part("citation", "BIGINT")
+    both = answer.isNotNull() & citation.isNotNull()
+    return F.struct(F.when(both, answer).alias("answer"), F.when(both, citation).alias("citation"))
 
 
 def evidence(questions: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
@@ -51,11 +55,10 @@ def generate(asked: DataFrame, generator: Callable[[str], str], prompt: Callable
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [generator(prompt(q, list(e))) for q, e in zip(b["question"], b["evidence"], strict=True)]
-            got = [parse_answer(r) for r in raw]
-            yield pd.DataFrame({"id": b["id"], "raw": raw, "answer": [a for a, _ in got], "citation": pd.array([c for _, c in got], "Int64")})
+            yield pd.DataFrame({"id": b["id"], "raw": [generator(prompt(q, list(e))) for q, e in zip(b["question"], b["evidence"], strict=True)]})
 
-    return asked.select("id", "question", "evidence").mapInPandas(run, "id string, raw string, answer string, citation long")
+    said = asked.select("id", "question", "evidence").mapInPandas(run, "id string, raw string")
+    return said.withColumn("reply", read_reply(F.col("raw"))).select("id", "raw", "reply.answer", "reply.citation")
 
 
 def bind_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
@@ -91,15 +94,52 @@ def span_occurrences(quotes: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def bind_spans(quotes: DataFrame, hits: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """id, reason of each quote; verdicts (id, verdict), if given, are asked of quotes
-    with one place: YES accepts, NO rejects, anything else is invalid."""
-    places = span_occurrences(quotes, hits).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    j = quotes.select("id", "quote").join(places, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    reason = F.when(F.trim("quote") == NONE, "model_abstained").when(is_blank("quote"), "empty_answer").when(F.col("n") == 0, "unsupported_quote").when(F.col("n") > 1, "ambiguous_quote")
+    """id, reason, answer, doc_id, chunk_id, start, end, candidate, model_calls of each
+    quote, white space around it aside. A quote needs one place; verdicts (id, verdict),
+    if given, are asked of those only: YES accepts, NO rejects, anything else is invalid.
+    The candidate is the quote that a verdict was asked of or could have been."""
+    quotes = quotes.select("id", strip(F.col("quote")).alias("quote"))
+    places = span_occurrences(quotes, hits).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "chunk_id")).alias("at"))
+    j = quotes.join(places, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    reason = F.when(F.col("quote") == NONE, "model_abstained").when(is_blank("quote"), "empty_answer").when(F.col("n") == 0, "unsupported_quote").when(F.col("n") > 1, "ambiguous_quote")
+    one = reason.isNull()
+    calls = F.lit(1)
     if verdicts is not None:
-        j = j.join(verdicts.select("id", "verdict"), "id", "left")
+        j = j.join(verdicts.select("id", strip(F.col("verdict")).alias("verdict")), "id", "left")
+        calls = F.when(one, 2).otherwise(1)
         reason = reason.when(F.col("verdict") == "NO", "verifier_rejected").when(~F.coalesce(F.col("verdict") == "YES", F.lit(False)), "invalid_verdict")
-    return j.select("id", reason.otherwise("quoted").alias("reason"))
+    j = j.select("id", "quote", "at", reason.otherwise("quoted").alias("reason"), F.when(one, F.col("quote")).alias("candidate"), calls.alias("model_calls"))
+    only = lambda c: F.when(F.col("reason") == "quoted", c)
+    return j.select("id", "reason", F.coalesce(only(F.col("quote")), F.lit(NONE)).alias("answer"), only(F.col("at.doc_id")).alias("doc_id"), only(F.col("at.chunk_id")).alias("chunk_id"), only(F.col("at.start")).alias("start"), only(F.col("at.start") + F.length("quote")).alias("end"), "candidate", "model_calls")
+
+
+def score(results: DataFrame, gold: DataFrame, hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """arm, id, answerable, answered, correct, retrieval_hit, quote_valid,
+    reference_supported, model_calls of results (arm, id, reason, answer, doc_id,
+    chunk_id, start, end, model_calls) against gold (id, doc_id, answers), hits (id,
+    chunk_id) and chunks (chunk_id, doc_id, start, end, text).
+
+    Correct: an answer that is a gold one, or none where there is none. A quote is valid
+    if the cited chunk reads so at the cited place, and supported if that is where a gold
+    answer stands.
+    """
+    answers = gold.select("id", F.col("doc_id").alias("gold_doc"), "answers")
+    got = hits.select("id", "chunk_id").join(rows.select("chunk_id", F.col("doc_id").alias("hit_doc"), F.col("start").alias("hs"), F.col("end").alias("he")), "chunk_id").join(answers, "id")
+    holds = (F.col("hit_doc") == F.col("gold_doc")) & F.exists("answers", lambda a: (F.col("hs") <= a["start"]) & (F.col("he") >= a["start"] + F.length(a["text"])))
+    found = got.groupBy("id").agg(F.max(holds).alias("retrieval_hit"))
+    j = results.join(answers, "id", "left").join(found, "id", "left").join(rows.select("chunk_id", F.col("start").alias("cs"), F.col("text").alias("cited")), "chunk_id", "left")
+    done, answerable = F.col("reason") == "quoted", F.col("answers").isNotNull()
+    is_gold = F.exists("answers", lambda a: a["text"] == F.col("answer"))
+    valid = done & (F.substring("cited", F.col("start") - F.col("cs") + 1, F.col("end") - F.col("start")) == F.col("answer"))
+    at = (F.col("doc_id") == F.col("gold_doc")) & F.exists("answers", lambda a: (a["text"] == F.col("answer")) & (a["start"] == F.col("start")))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return j.select("arm", "id", answerable.alias("answerable"), done.alias("answered"), no(F.when(answerable, done & is_gold).otherwise(~done)).alias("correct"), no(F.col("retrieval_hit")).alias("retrieval_hit"), no(valid).alias("quote_valid"), no(valid & at).alias("reference_supported"), F.coalesce("model_calls", F.lit(1)).alias("model_calls"))
+
+
+def arm_metrics(scored: DataFrame) -> DataFrame:
+    """By arm the counts of ``score``'s verdicts, and all model calls."""
+    names = ["answerable", "answered", "correct", "retrieval_hit", "quote_valid", "reference_supported"]
+    return scored.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c) for c in names], F.sum("model_calls").cast("long").alias("model_calls"))
 
 
 def metrics(scored: DataFrame) -> DataFrame:

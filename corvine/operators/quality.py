@@ -12,12 +12,13 @@ FIELDS = ("source_id", "title", "text")
 
 def flag(records: DataFrame) -> DataFrame:
     """Add reason (schema, empty, suspected_contact_pattern or null; the first that
-    applies) and record_hash; one row each, no shuffle. Titles aren't searched."""
+    applies) and record_hash, of ``raw`` where a reader gives the record as it came; one
+    row each, no shuffle. Titles aren't searched."""
     missing = F.col("source_id").isNull() | F.col("title").isNull() | F.col("text").isNull()
     empty = (F.col("source_id") == "") | t.is_blank("text") | t.is_blank("title")
     contact = F.col("text").rlike(t.EMAIL) | F.col("text").rlike(t.PHONE)
     reason = F.when(missing, "schema").when(empty, "empty").when(contact, "suspected_contact_pattern")
-    return records.select(*FIELDS, reason.alias("reason"), t.record_digest(*FIELDS).alias("record_hash"))
+    return records.select(*FIELDS, reason.alias("reason"), (F.sha2("raw", 256) if "raw" in records.columns else t.record_digest(*FIELDS)).alias("record_hash"))
 
 
 def quarantined(flagged: DataFrame) -> DataFrame:
@@ -30,13 +31,14 @@ def accepted(flagged: DataFrame) -> DataFrame:
 
 
 def exact_dedup(rows: DataFrame) -> DataFrame:
-    """One document per doc_id: the row of least (source_id, title).
+    """One document per doc_id: the row of least (source_id, title), and only its title
+    is folded.
 
     The shuffle carries ids and titles only; the text, which all rows of a doc_id share,
     travels once a task as the group's first.
     """
-    g = rows.groupBy("doc_id").agg(F.min(F.struct("source_id", "title", "title_key")).alias("m"), F.first("text").alias("text"))
-    return g.select("doc_id", F.col("m.title").alias("title"), F.col("m.title_key").alias("title_key"), "text")
+    g = rows.groupBy("doc_id").agg(F.min(F.struct("source_id", "title")).alias("m"), F.first("text").alias("text"))
+    return g.select("doc_id", F.col("m.title").alias("title"), t.title_key(F.col("m.title")).alias("title_key"), "text")
 
 
 def lineage(rows: DataFrame) -> DataFrame:

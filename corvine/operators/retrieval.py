@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from corvine.session import materialize
 BUDGET = 480
 #: Questions are scored in blocks, so that the matrix of a block is bounded.
 QUESTIONS = 512
+#: Terms that a task counts before it sends them on.
+TERMS = 1 << 18
 
 
 def chunks(docs: DataFrame, size: int = 160, stride: int = 160) -> DataFrame:
@@ -37,9 +40,29 @@ def normal_chunks(rows: DataFrame) -> DataFrame:
 
 
 def term_statistics(normal: DataFrame) -> DataFrame:
-    """term, cf (occurrences), df (chunks with it)."""
-    tf = normal.select("chunk_id", F.explode(t.tokens("normal")).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    """term, cf (occurrences), df (chunks with it): counted where the chunks are, so a
+    task sends a row for each of its terms and not one for each token."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cf, df = Counter(), Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([*cf], pa.string()), pa.array([*cf.values()], pa.int64()), pa.array([df[w] for w in cf], pa.int64())], names=["term", "cf", "df"])
+            cf.clear()
+            df.clear()
+            return out
+
+        for b in batches:
+            for s in b.column("normal").to_pylist():
+                words = _tokens(s)
+                cf.update(words)
+                df.update(set(words))
+                if len(cf) >= TERMS:
+                    yield rows()
+        yield rows()
+
+    some = normal.select("normal").where(F.length("normal") > 0).mapInArrow(count, "term string, cf long, df long")
+    return some.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def collection(normal: DataFrame) -> DataFrame:

@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as t
 from corvine.operators import families as fam
-from corvine.operators import qa, quality
+from corvine.operators import qa, quality, verify
+from corvine.operators.containment import contained
 from corvine.operators import retrieval as ret
-from corvine.sources.records import read_parquet_records, valid_references
+from corvine.sources.records import exclude_seen, read_parquet_records, valid_references
 from corvine.session import materialize
 
 EXTRA = [
     ("x:schema", "标题", None),
     ("x:empty", "标题", " 　\n"),
     ("", "标题", "有文本"),
-    ("x:phone", "标题", "虚构手机号13800000000"),
-    ("x:mail", "标题", "联系人@公司.中国"),
+    ("x:phone", "标题", "call +86 15912345670 today"),
+    ("x:mail", "标题", "write to größe@beispiel.test"),
     ("x:wide", "ＡＢＣ ß", "  ＡＢＣ\n中文 é  "),
     ("x:twice", "标题", "同一来源"),
     ("x:twice", "标题", "同一来源，另一文本"),
@@ -169,8 +170,8 @@ def _arm(spark: SparkSession, sf_dir: str, stride: int) -> tuple[DataFrame, Data
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that a document holds verbatim; the least document is its source."""
-    q, d = _questions(spark, sf_dir), _docs(spark, sf_dir).select("doc_id", "text")
-    j = d.join(q, F.contains("text", "question"))
+    q, d = _questions(spark, sf_dir), materialize(_docs(spark, sf_dir).select("doc_id", "text"), "docs")
+    j = contained(d, q.select("id", F.col("question").alias("piece"))).join(q, "id").join(d, "doc_id")
     g = j.groupBy("id").agg(F.min(F.struct("doc_id", (F.call_function("locate", F.col("question"), F.col("text")) - 1).alias("at"), F.substring("question", 1, 40).alias("answer"))).alias("g"))
     return g.select("id", F.col("g.doc_id").alias("doc_id"), F.array(F.struct(F.col("g.at").alias("start"), F.col("g.answer").alias("text"))).alias("answers"))
 
@@ -454,12 +455,13 @@ def withheld_sources(spark, sf_dir):
 # ---- cited answers; the generator is a column expression ----------------------------
 
 _TEXT_HITS = f"WITH {_DOCS}, {_QUESTIONS}, {_BASE}, {_search('base', 'b')}, h AS (SELECT id, \"rank\", chunk_id, doc_id, \"start\", text FROM bhits JOIN base USING (chunk_id))"
-_REPLY = "reply AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'NO_ANSWER' WHEN CAST(id AS BIGINT) % 5 = 1 THEN 'zzzz' ELSE substring(text, 11, 12) END AS answer, CASE WHEN CAST(id AS BIGINT) % 5 = 2 THEN 9 ELSE 1 END AS citation FROM h WHERE \"rank\" = 1)"
+_REPLY = "reply AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'NO_ANSWER' WHEN CAST(id AS BIGINT) % 5 = 1 THEN 'zzzz' WHEN CAST(id AS BIGINT) % 5 = 3 THEN substring(question, 1, 40) ELSE substring(text, 11, 12) END AS answer, CASE WHEN CAST(id AS BIGINT) % 5 = 2 THEN 9 ELSE 1 END AS citation FROM h JOIN questions USING (id) WHERE \"rank\" = 1)"
 
 
-def _reply(hits: DataFrame) -> DataFrame:
+def _reply(hits: DataFrame, questions: DataFrame) -> DataFrame:
     n = F.col("id").cast("long") % 5
-    return hits.where(F.col("rank") == 1).select("id", F.when(n == 0, qa.NONE).when(n == 1, "zzzz").otherwise(F.substring("text", 11, 12)).alias("answer"), F.when(n == 2, 9).otherwise(1).cast("long").alias("citation"))
+    said = F.when(n == 0, qa.NONE).when(n == 1, "zzzz").when(n == 3, F.substring("question", 1, 40)).otherwise(F.substring("text", 11, 12))
+    return hits.where(F.col("rank") == 1).join(questions, "id").select("id", said.alias("answer"), F.when(n == 2, 9).otherwise(1).cast("long").alias("citation"))
 
 
 _BOUND = f"""{_TEXT_HITS}, {_REPLY}, bound AS (SELECT r.id, CASE WHEN answer = 'NO_ANSWER' THEN 'model_abstained' WHEN {_blank("answer")} OR citation > 3 THEN 'invalid_citation' WHEN instr(text, answer) = 0 THEN 'unsupported_quote' ELSE 'quoted' END AS reason,
@@ -469,7 +471,7 @@ _BOUND = f"""{_TEXT_HITS}, {_REPLY}, bound AS (SELECT r.id, CASE WHEN answer = '
 @query(f"{_BOUND} SELECT id, reason, CASE WHEN reason = 'quoted' THEN said ELSE 'NO_ANSWER' END AS answer, CASE WHEN reason = 'quoted' THEN doc_id END AS doc_id, CASE WHEN reason = 'quoted' THEN chunk_id END AS chunk_id, CASE WHEN reason = 'quoted' THEN s ELSE -1 END AS \"start\", CASE WHEN reason = 'quoted' THEN s + length(said) ELSE -1 END AS \"end\" FROM bound")
 def citation_binding(spark, sf_dir):
     hits = materialize(_hits_with_text(spark, sf_dir), "hits")
-    b = qa.bind_citations(_reply(hits), hits)
+    b = qa.bind_citations(_reply(hits, _questions(spark, sf_dir)), hits)
     return b.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "end")})
 
 
@@ -480,36 +482,143 @@ def span_occurrences(spark, sf_dir):
     return qa.span_occurrences(hits.where(F.col("rank") == 1).select("id", F.substring("text", 1, 4).alias("quote")), hits)
 
 
-_SCORED = f"{_BOUND}, gold AS (SELECT CAST(b.item_id AS VARCHAR) AS id FROM benchmark b WHERE EXISTS (SELECT 1 FROM docs d WHERE contains(d.text, b.text))), scored AS (SELECT 1 AS k, b.id, g.id IS NOT NULL AS answerable, reason = 'quoted' AS answered, reason = 'quoted' AND contains(q.question, said) AS supported FROM bound b JOIN questions q ON q.id = b.id LEFT JOIN gold g ON g.id = b.id)"
+_SCORED = f"""{_BOUND}, {_GOLD}, valid AS (SELECT b.*, b.reason = 'quoted' AND substring(c.text, CAST(b.s - c."start" + 1 AS BIGINT), length(b.said)) = b.said AS ok FROM bound b LEFT JOIN h c ON c.id = b.id AND c.chunk_id = b.chunk_id),
+scored AS (SELECT 1 AS k, 'json' AS arm, b.id, g.id IS NOT NULL AS answerable, reason = 'quoted' AS answered, CASE WHEN g.id IS NOT NULL THEN reason = 'quoted' AND said = g.answer ELSE reason <> 'quoted' END AS correct,
+  EXISTS (SELECT 1 FROM h WHERE h.id = b.id AND h.doc_id = g.doc_id AND h."start" <= g.loc AND h."start" + length(h.text) >= g.loc + length(g.answer)) AS retrieval_hit,
+  coalesce(ok, false) AS quote_valid, coalesce(ok AND b.doc_id = g.doc_id AND said = g.answer AND s = g.loc, false) AS reference_supported FROM valid b LEFT JOIN gold g ON g.id = b.id)"""
 
 
 def _scored(spark, sf_dir):
-    hits = materialize(_hits_with_text(spark, sf_dir), "hits")
-    b = qa.bind_citations(_reply(hits), hits).select("id", "reason", "answer").join(_questions(spark, sf_dir), "id").join(_gold(spark, sf_dir).select("id", F.lit(True).alias("has")), "id", "left")
-    done = F.col("reason") == "quoted"
-    right = done & F.contains("question", "answer")
-    return b.select(F.lit(1).alias("k"), "id", F.coalesce("has", F.lit(False)).alias("answerable"), done.alias("answered"), right.alias("supported"), right.alias("correct"))
+    rows, found = _arm(spark, sf_dir, 160)
+    hits, q = materialize(found.join(rows, "chunk_id"), "hits"), _questions(spark, sf_dir)
+    b = qa.bind_citations(_reply(hits, q), hits).withColumns({"arm": F.lit("json"), "model_calls": F.lit(1)})
+    return qa.score(b, _gold(spark, sf_dir), hits, rows)
+
+
+@query(f"{_SCORED} SELECT arm, id, answerable, answered, correct, retrieval_hit, quote_valid, reference_supported, 1 AS model_calls FROM scored")
+def qa_scores(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
 
+@query(f"""{_SCORED} SELECT arm, count(*) AS n, count_if(answerable) AS answerable, count_if(answered) AS answered, count_if(correct) AS correct, count_if(retrieval_hit) AS retrieval_hit,
+  count_if(quote_valid) AS quote_valid, count_if(reference_supported) AS reference_supported, count(*) AS model_calls FROM scored GROUP BY arm""")
+def qa_arm_metrics(spark, sf_dir):
+    return qa.arm_metrics(_scored(spark, sf_dir))
 
-@query(f"""{_SCORED} SELECT k, count(*) AS n, count(*) FILTER (answerable AND supported) / nullif(count(*) FILTER (answerable), 0) AS em_answerable, count(*) FILTER (answerable AND NOT answered) / nullif(count(*) FILTER (answerable), 0) AS false_refusal,
-  count(*) FILTER (NOT answerable AND NOT answered) / nullif(count(*) FILTER (NOT answerable), 0) AS correct_refusal, count(*) FILTER (answered AND supported) / nullif(count(*) FILTER (answered), 0) AS citation_support FROM scored GROUP BY k""")
+
+@query(f"""{_SCORED} SELECT k, count(*) AS n, count(*) FILTER (answerable AND correct) / nullif(count(*) FILTER (answerable), 0) AS em_answerable, count(*) FILTER (answerable AND NOT answered) / nullif(count(*) FILTER (answerable), 0) AS false_refusal,
+  count(*) FILTER (NOT answerable AND NOT answered) / nullif(count(*) FILTER (NOT answerable), 0) AS correct_refusal, count(*) FILTER (answered AND reference_supported) / nullif(count(*) FILTER (answered), 0) AS citation_support FROM scored GROUP BY k""")
 def qa_metrics(spark, sf_dir):
-    return qa.metrics(_scored(spark, sf_dir))
+    return qa.metrics(_scored(spark, sf_dir).withColumns({"k": F.lit(1), "supported": F.col("reference_supported")}))
 
 
-@query(f"{_SCORED} SELECT k, count(*) FILTER (answered) AS answered, count(*) FILTER (answered) AS quote_valid, count(*) FILTER (supported) AS reference_supported FROM scored GROUP BY k")
+@query(f"{_SCORED} SELECT k, count(*) FILTER (answered) AS answered, count(*) FILTER (quote_valid) AS quote_valid, count(*) FILTER (reference_supported) AS reference_supported FROM scored GROUP BY k")
 def quote_decomposition(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return s.groupBy("k").agg(F.count_if("answered").alias("answered"), F.count_if("answered").alias("quote_valid"), F.count_if("supported").alias("reference_supported"))
+    return s.groupBy(F.lit(1).alias("k")).agg(*[F.count_if(c).alias(c) for c in ("answered", "quote_valid", "reference_supported")])
 
 
-@query()
+_STRIP = f"regexp_replace(substring(text, 1, 30), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"""{_TEXT_HITS}, quotes AS (SELECT id, {_STRIP} AS quote, ['YES', 'NO', 'maybe'][CAST(id AS BIGINT) % 3 + 1] AS verdict FROM h WHERE "rank" = 1),
+occ AS (SELECT id, doc_id, s, arg_max(chunk_id, "rank") AS chunk_id FROM (SELECT q.id, doc_id, chunk_id, "rank", CAST("start" + i - 1 AS BIGINT) AS s FROM quotes q JOIN h USING (id), unnest(range(1, length(text) - length(quote) + 2)) r(i) WHERE quote <> '' AND substring(text, i, length(quote)) = quote) GROUP BY ALL),
+n AS (SELECT id, count(*) AS n, min(doc_id) AS doc_id, min(chunk_id) AS chunk_id, min(s) AS s FROM occ GROUP BY id),
+said AS (SELECT q.id, quote, n.doc_id, n.chunk_id, s, CASE WHEN quote = '' THEN 'empty_answer' WHEN n.n IS NULL THEN 'unsupported_quote' WHEN n.n > 1 THEN 'ambiguous_quote' WHEN verdict = 'NO' THEN 'verifier_rejected' WHEN verdict <> 'YES' THEN 'invalid_verdict' ELSE 'quoted' END AS reason FROM quotes q LEFT JOIN n USING (id))
+SELECT id, reason, CASE WHEN reason = 'quoted' THEN quote ELSE 'NO_ANSWER' END AS answer, CASE WHEN reason = 'quoted' THEN chunk_id END AS chunk_id, coalesce(CASE WHEN reason = 'quoted' THEN s END, -1) AS "start",
+  CASE WHEN reason IN ('verifier_rejected', 'invalid_verdict', 'quoted') THEN quote END AS candidate, CAST(CASE WHEN reason IN ('verifier_rejected', 'invalid_verdict', 'quoted') THEN 2 ELSE 1 END AS INT) AS model_calls FROM said""")
+def span_qa(spark, sf_dir):
+    hits = materialize(_hits_with_text(spark, sf_dir), "hits")
+    first = hits.where(F.col("rank") == 1)
+    quotes = first.select("id", F.concat(F.lit("\n "), F.substring("text", 1, 30), F.lit("\u3000\n")).alias("quote"))
+    verdicts = first.select("id", F.concat(F.element_at(F.array(F.lit("YES"), F.lit("NO"), F.lit("maybe")), (F.col("id").cast("long") % 3 + 1).cast("int")), F.lit("\n")).alias("verdict"))
+    b = qa.bind_spans(quotes, hits, verdicts)
+    return b.select("id", "reason", "answer", "chunk_id", F.coalesce("start", F.lit(-1)).cast("long").alias("start"), "candidate", "model_calls")
+
+
+# ---- comparisons, samples, timings ---------------------------------------------------
+
+
+@query(f"""WITH {_DOCS}, {_QUESTIONS}, {_BASE}, {_search('base', 'b')}, two AS (SELECT id, "rank", CASE WHEN CAST(id AS BIGINT) % 5 = 0 AND "rank" = 2 THEN 'x' ELSE chunk_id END AS chunk_id, score + CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 0.5 ELSE 0 END AS score FROM bhits WHERE id <> '3' OR "rank" < 3)
+SELECT count(*) AS places, count_if(a.chunk_id IS DISTINCT FROM b.chunk_id) AS other_chunk, count_if(a.score IS NULL OR b.score IS NULL OR abs(a.score - b.score) > greatest(1e-12 * greatest(abs(a.score), abs(b.score)), 1e-12)) AS not_close,
+  count_if(abs(a.score - b.score) > 0) AS rounded, round(max(abs(a.score - b.score)), 9) AS max_difference FROM bhits a FULL JOIN two b ON a.id = b.id AND a."rank" = b."rank" """)
+def compare_runs(spark, sf_dir):
+    hits = _arm(spark, sf_dir, 160)[1]
+    n = F.col("id").cast("long")
+    two = hits.where((F.col("id") != "3") | (F.col("rank") < 3)).withColumns({"chunk_id": F.when((n % 5 == 0) & (F.col("rank") == 2), "x").otherwise(F.col("chunk_id")), "score": F.col("score") + F.when(n % 7 == 0, 0.5).otherwise(0.0)})
+    return verify.compare_hits(hits, two).withColumn("max_difference", F.round("max_difference", 9))
+
+
+@query(f"""WITH {_QUESTIONS}, s AS (SELECT id, row_number() OVER (ORDER BY sha256('["arm-order","' || id || '"]')) - 1 AS place FROM questions QUALIFY place < 24)
+SELECT id, CAST(place AS INT) AS place, CAST(turn AS INT) AS turn, ['json', 'span', 'verified_span'][(place + turn) % 3 + 1] AS arm FROM s, range(3) t(turn)""")
+def arm_order(spark, sf_dir):
+    sample = verify.hash_sample(_questions(spark, sf_dir).select("id"), "arm-order", 24)
+    return verify.rotating_arms(sample, ("json", "span", "verified_span"))
+
+
+@query("""WITH m AS (SELECT lang AS "index", doc_id % 5 AS round, median(n_chars) FILTER (doc_id % 2 = 0) AS b, median(n_chars) FILTER (doc_id % 2 = 1) AS a FROM documents GROUP BY ALL)
+SELECT "index", median(b) AS before, median(a) AS after, count_if(a < b) AS faster_rounds, count(*) AS rounds, median(b) / median(a) AS speed_up FROM m GROUP BY "index" """)
+def benchmark_summary(spark, sf_dir):
+    """Lengths stand in for seconds."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    times = d.select(F.col("lang").alias("index"), (F.col("doc_id") % 5).alias("round"), F.when(F.col("doc_id") % 2 == 0, "old").otherwise("new").alias("arm"), F.col("n_chars").cast("double").alias("seconds"))
+    return verify.benchmark_summary(times, "old", "new")
+
+
+_CUT = f"{_CHOSEN}, cut AS (SELECT family_id, CASE WHEN r <= 40 THEN 'dev' ELSE 'holdout' END AS split FROM (SELECT *, row_number() OVER (ORDER BY sha256('\"evidence-v1:' || family_id || '\"')) AS r FROM chosen) WHERE r <= 80)"
+
+
+@query(f"{_CUT} SELECT split, count(*) AS n, count(DISTINCT family_id) AS families, count(DISTINCT CASE WHEN family_id IN (SELECT family_id FROM cut GROUP BY 1 HAVING count(DISTINCT split) > 1) THEN family_id END) AS shared FROM cut GROUP BY split")
+def split_checks(spark, sf_dir):
+    return verify.split_checks(materialize(fam.split_families(_chosen(spark, sf_dir), 40, 40), "split"))
+
+
+@query(f"""WITH RECURSIVE {_FAMILIES}, {_GOLD}, picked AS (SELECT g.id, f.family_id, NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id <> g.doc_id AND contains(d.text, g.answer)) AS positive, sha256('["span-set","' || g.id || '"]') AS d FROM gold g JOIN families f USING (doc_id)),
+yes AS (SELECT family_id, arg_min(id, d) AS id, min(d) AS d FROM picked WHERE positive GROUP BY 1 ORDER BY min(d) LIMIT 8),
+no AS (SELECT family_id, arg_min(id, d) AS id, min(d) AS d FROM picked WHERE NOT positive AND family_id NOT IN (SELECT family_id FROM yes) GROUP BY 1 ORDER BY min(d) LIMIT 4)
+SELECT id, family_id, 'positive' AS kind FROM yes UNION ALL SELECT id, family_id, 'negative' FROM no""")
+def build_set(spark, sf_dir):
+    """Questions whose answer no other document holds, a family each, and others."""
+    gold = materialize(_gold(spark, sf_dir), "gold")
+    answers = gold.select("id", "doc_id", F.col("answers")[0]["text"].alias("piece"))
+    held = contained(_docs(spark, sf_dir).select("doc_id", "text"), answers.select("id", "piece"))
+    others = held.join(answers.select("id", F.col("doc_id").alias("own")), "id").where(F.col("doc_id") != F.col("own")).select("id").distinct().withColumn("other", F.lit(True))
+    cand = answers.join(_families(spark, sf_dir), "doc_id").join(others, "id", "left").select("id", "family_id", F.col("other").isNull().alias("positive"))
+    return verify.disjoint_selection(materialize(cand, "candidates"), "span-set", 8, 4)
+
+
+@query(f"""{_BASE_RUN}, one AS (SELECT * FROM gold ORDER BY CAST(id AS BIGINT) LIMIT 1)
+SELECT o.id, o.doc_id, a.source_id, h."rank", h.chunk_id, b.doc_id = o.doc_id AS from_source FROM one o JOIN (SELECT DISTINCT doc_id, source_id FROM accepted) a USING (doc_id) JOIN bhits h ON h.id = o.id JOIN base b ON b.chunk_id = h.chunk_id""")
+def trace(spark, sf_dir):
+    """One question to its source, the records that it came from, and its hits."""
+    rows, hits = _arm(spark, sf_dir, 160)
+    gold = materialize(_gold(spark, sf_dir).select("id", "doc_id"), "gold")
+    least = gold.agg(F.min(F.col("id").cast("long")).cast("string").alias("id"))
+    one = verify.exactly_one(gold.join(least, "id"), "question")
+    edges = quality.lineage(_accepted(spark, sf_dir)).select("doc_id", "source_id")
+    found = hits.join(rows.select("chunk_id", F.col("doc_id").alias("hit_doc")), "chunk_id")
+    return one.join(edges, "doc_id").join(found, "id").select("id", "doc_id", "source_id", "rank", "chunk_id", (F.col("hit_doc") == F.col("doc_id")).alias("from_source"))
+
+
+@query(f"""WITH {_ACCEPTED}, keys AS (SELECT DISTINCT title_key FROM accepted WHERE source_id IN ('0', '50', '100')), kept AS (SELECT * FROM accepted WHERE text NOT IN (SELECT text FROM benchmark) AND title_key NOT IN (SELECT title_key FROM keys))
+SELECT (SELECT count(*) FROM accepted) AS raw, (SELECT count(*) FROM accepted) - (SELECT count(*) FROM kept) AS excluded, (SELECT count(*) FROM kept) AS candidates, (SELECT count(*) FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE contains(a.text, b.text))) AS invalid_references""")
+def corpus_counters(spark, sf_dir):
+    """Records, those whose text or title was seen before, the rest, and bad references."""
+    rows = materialize(_accepted(spark, sf_dir), "accepted")
+    seen = rows.where(F.col("source_id").isin("0", "50", "100"))
+    kept = exclude_seen(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"), seen.select("title_key"))
+    raw, left = rows.agg(F.count(F.lit(1)).alias("raw")), kept.agg(F.count(F.lit(1)).alias("candidates"))
+    bad = _references(spark, sf_dir).agg(F.count_if(~F.col("valid")).alias("invalid_references"))
+    return raw.crossJoin(left).crossJoin(bad).select("raw", (F.col("raw") - F.col("candidates")).alias("excluded"), "candidates", "invalid_references")
+
+
+@query("SELECT true AS same")
 def executor_parity(spark, sf_dir):
-    """The documents' digest as computed in one and in many partitions."""
+    """The documents' digest as they come and dealt to other partitions."""
     from corvine.plans.lake import table_digest
 
     d = _docs(spark, sf_dir)
-    same = table_digest(d.coalesce(1)) == table_digest(d.repartition(7))
+    same = table_digest(d) == table_digest(d.repartition(7))
     return spark.range(1).select(F.lit(same).alias("same"))
 
 

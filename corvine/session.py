@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset (tests, a
-    single machine) a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names. Only on a single machine (a local master)
+    a temporary folder is made and set where that is unset; a cluster's executors
+    wouldn't see each other's files there, so it must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corvine-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -19,7 +19,8 @@ def read_parquet_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Records of any JSON: a field that isn't a string comes out null, so that the
-    schema rule catches it; a line that isn't JSON fails, blank lines are skipped."""
+    schema rule catches it, and ``raw`` holds the record as it came, keys sorted, which
+    is what its hash is taken of. A line that isn't JSON fails, blank lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     v = lines.select(F.parse_json("value").alias("v"))
 
@@ -27,7 +28,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
         kind = F.expr(f"schema_of_variant(variant_get(v, '$.{name}', 'variant'))")
         return F.when(kind == "STRING", F.expr(f"try_variant_get(v, '$.{name}', 'string')")).alias(name)
 
-    return v.select(field("source_id"), field("title"), field("text"))
+    return v.select(field("source_id"), field("title"), field("text"), F.to_json("v").alias("raw"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
@@ -41,18 +42,19 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def atomic_json(path: str | Path, value: object) -> None:
-    """One whole JSON value on the driver's file system; the last writer wins."""
-    path = Path(path)
-    body = json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n"
-    fd, temp = tempfile.mkstemp(prefix=f".{path.name}.", suffix=".tmp", dir=path.parent)
-    try:
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(body)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temp, path)
-    finally:
-        Path(temp).unlink(missing_ok=True)
+    """Readers of ``path`` see the old value or the whole new one, also after a crash.
+
+    The value is made before anything is touched, written in a folder of its own beside
+    the target, forced to disk, and moved into place.
+    """
+    target = Path(path)
+    text = json.dumps(value, indent=1, sort_keys=True, ensure_ascii=False)
+    with tempfile.TemporaryDirectory(prefix="json-", dir=target.parent) as scratch:
+        whole = Path(scratch, "whole")
+        with whole.open("x", encoding="utf-8") as out:
+            print(text, file=out, flush=True)
+            os.fsync(out)
+        whole.replace(target)
 
 
 QUESTIONS = "data array<struct<title string, paragraphs array<struct<context string, qas array<struct<id string, question string, answers array<struct<text string, answer_start int>>>>>>>>"
@@ -77,5 +79,7 @@ def valid_references(questions: DataFrame) -> DataFrame:
 
 
 def exclude_seen(records: DataFrame, seen_texts: DataFrame, seen_titles: DataFrame) -> DataFrame:
-    """Drop records whose text or title_key was seen before (two anti joins)."""
-    return records.join(seen_texts.select("text").distinct(), "text", "left_anti").join(seen_titles.select("title_key").distinct(), "title_key", "left_anti")
+    """Drop records whose text or title_key was seen before: two anti joins, the one of
+    texts by their digests, so that the texts seen aren't shuffled."""
+    seen = seen_texts.select(F.sha2("text", 256).alias("seen")).distinct()
+    return records.join(seen, F.sha2(F.col("text"), 256) == F.col("seen"), "left_anti").join(seen_titles.select("title_key").distinct(), "title_key", "left_anti")
