@@ -309,7 +309,12 @@ def train(features: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, fo
     rest = fold == 1
     if not (rest.any() and y[rest].min() != y[rest].max()):
         rest = np.ones(len(y), bool)
-    x = aggregates(model.marginals(idx, counts), counts)[rest]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    x = []
+    for i in range(0, len(counts), 400):
+        n = counts[i : i + 400]
+        x.append(aggregates(model.marginals(idx[:, ends[i] : ends[i + len(n)]], n), n))
+    x = np.concatenate(x)[rest]
     yr = y[rest].astype(float)
     share = max(yr.mean(), 1e-9)
     weight = np.where(yr > 0, rate / share, (1 - rate) / max(1 - share, 1e-9))
@@ -333,7 +338,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     ids_of = got["doc_id"].to_numpy()
     fold = ((ids_of * 2654435761 >> 7) % 10 < 3).astype(int)
     texts = got["text"]
-    order = sorted(range(len(ids_of)), key=lambda i: (fold[i], ids_of[i], texts[i].as_py()))
+    order = sorted(range(len(ids_of)), key=lambda i: (fold[i], ids_of[i]))  # ids come once
     y, fold = got["y"].to_numpy()[order], fold[order]
     features = training_features([texts[i].as_py() for i in order])
     del got, texts
