@@ -15,16 +15,28 @@ from corvine.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger marks as toxic go."""
+    """Documents that the tagger marks as toxic go.
+
+    Null and empty texts have no tokens and stay; rows are judged one by one, so repeated
+    ones go or stay together. Without labels of both classes nothing is learnt and the
+    score is the labels' base rate, 0.5 if there are none, so all stay. Other columns are
+    untouched; an empty table stays empty.
+    """
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, model).where(F.col("predicted") == 0).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents that consisted of nothing else."""
+    """Later repeated runs of lines go, and documents that consisted of nothing else.
+
+    The order is that of doc_id, null last, then of a hash of the text; rows that repeat
+    both are one document. Null and empty texts stay. n_chars, if there, follows the text.
+    """
     d = line_dedup.dedup_lines(docs)
     d = d.where((F.col("n_removed") == 0) | (F.coalesce("text", F.lit("")) != ""))
-    return d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return d.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +66,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; texts without words are never taken. Rows
+    that repeat doc_id and text are taken alike."""
     return mixing.mix(docs)
 
 
