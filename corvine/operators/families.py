@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,26 @@ def title_edges(lineage: DataFrame) -> DataFrame:
     return star.where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
+def _masks(bits: int) -> list[int]:
+    """Masks, as signed longs, of every choice of ``bits`` out of 2 * ``bits`` blocks of a
+    hash: where at most ``bits`` bits differ, some choice lies in the blocks without one."""
+    blocks = 2 * bits
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    one = [(1 << b) - (1 << a) for a, b in pairwise(cuts)]
+    whole = [sum(c) for c in combinations(one, bits)] or [0]
+    return [m - (1 << 64) if m >> 63 else m for m in whole]
+
+
 def near_candidates(hashed: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs a > b whose 64-bit hashes differ in at most ``bits`` bits. hashed: doc_id, h.
 
-    With bits + 1 bands one band is equal, so the join on bands finds all such pairs.
+    A hash is looked up by half of its bits, in each of the 20 ways (for three bits) that
+    take three of six blocks; one of them agrees for every such pair. So n hashes meet by
+    chance 20 n^2 / 2^33 times, where four keys of a quarter would need 4 n^2 / 2^17.
     Equal hashes are joined once, by their least document, and not within a group.
     """
-    width = 64 // (bits + 1)
     groups = hashed.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    band = F.posexplode(F.array(*[F.shiftrightunsigned("h", width * i).bitwiseAND((1 << width) - 1) for i in range(bits + 1)]))
+    band = F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in _masks(bits)]))
     banded = materialize(groups.select("h", band.alias("band", "key")), "bands")
     x, y = banded.select("band", "key", F.col("h").alias("hx")), banded.select("band", "key", F.col("h").alias("hy"))
     near = x.join(y, ["band", "key"]).where((F.col("hx") < F.col("hy")) & (F.bit_count(F.col("hx").bitwiseXOR(F.col("hy"))) <= bits)).select("hx", "hy").distinct()
@@ -51,6 +64,16 @@ def near_pairs(docs: DataFrame, hashed: DataFrame, least: float = JACCARD) -> Da
     return p.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def audit(hashed: DataFrame, near: DataFrame, of: DataFrame) -> DataFrame:
+    """One row: candidate pairs, those that are near, documents, families, and the size
+    of the largest one."""
+    sizes = of.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
+    a = near_candidates(hashed).agg(F.count(F.lit(1)).alias("candidates"))
+    b = near.agg(F.count(F.lit(1)).alias("near_pairs"))
+    c = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.count(F.lit(1)).alias("families"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    return a.crossJoin(b).crossJoin(c)
+
+
 def families(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, family_id: the digest of the sorted members, as JSON."""
     labels = connected_components(edges)

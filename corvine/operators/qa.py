@@ -49,6 +49,10 @@ def span_prompt(question: str, texts: list[str]) -> str:
     return "Copy the passage of the evidence that answers the question, or write NO_ANSWER.\n" + question + "\n---\n" + "\n---\n".join(texts)
 
 
+def verdict_prompt(question: str, texts: list[str]) -> str:
+    return "Does the passage answer the question? Write YES or NO.\n" + question + "\n---\n" + texts[0]
+
+
 def generate(asked: DataFrame, generator: Callable[[str], str], prompt: Callable[[str, list[str]], str] = json_prompt) -> DataFrame:
     """id, raw, answer, citation: one call of the generator for each row, in batches on
     the executors; a generator that holds a model should load it at its first call."""
@@ -113,6 +117,20 @@ def bind_spans(quotes: DataFrame, hits: DataFrame, verdicts: DataFrame | None =
     return j.select("id", "reason", F.coalesce(only(F.col("quote")), F.lit(NONE)).alias("answer"), only(F.col("at.doc_id")).alias("doc_id"), only(F.col("at.chunk_id")).alias("chunk_id"), only(F.col("at.start")).alias("start"), only(F.col("at.start") + F.length("quote")).alias("end"), "candidate", "model_calls")
 
 
+def ask_verdicts(asked: DataFrame, spans: DataFrame, verifier: Callable[[str], str]) -> DataFrame:
+    """id, verdict: the verifier's replies on the candidates of ``bind_spans``."""
+    c = asked.join(spans.where(F.col("candidate").isNotNull()).select("id", F.array("candidate").alias("evidence")), "id")
+    return generate(c.select("id", "question", "evidence"), verifier, verdict_prompt).select("id", F.col("raw").alias("verdict"))
+
+
+def answer_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, before, after, changed of the same questions' answers (id, answer, reason) on
+    two versions of the documents; one that is asked of one version only has a null."""
+    x, y = (d.select("id", F.struct("answer", "reason").alias(n)) for n, d in (("x", before), ("y", after)))
+    j = x.join(y, "id", "full_outer")
+    return j.select("id", F.col("x.answer").alias("before"), F.col("y.answer").alias("after"), (~F.col("x").eqNullSafe(F.col("y"))).alias("changed"))
+
+
 def score(results: DataFrame, gold: DataFrame, hits: DataFrame, rows: DataFrame) -> DataFrame:
     """arm, id, answerable, answered, correct, retrieval_hit, quote_valid,
     reference_supported, model_calls of results (arm, id, reason, answer, doc_id,

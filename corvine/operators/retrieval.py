@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.functions import text as t
@@ -19,6 +22,7 @@ BUDGET = 480
 QUESTIONS = 512
 #: Terms that a task counts before it sends them on.
 TERMS = 1 << 18
+HITS = "id string, chunk_id string, score double"
 
 
 def chunks(docs: DataFrame, size: int = 160, stride: int = 160) -> DataFrame:
@@ -85,19 +89,13 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 3, k1: float = 1.2, b
     make a matrix, whose product with the questions' weights scores all of them at once;
     a batch keeps its k best, so what is shuffled is k rows a question and batch.
     """
-    if isinstance(k, bool) or not isinstance(k, int) or k < 0:
-        raise ValueError("k must be an integer of at least 0")
-    spark = rows.sparkSession
-    schema = "id string, chunk_id string, score double"
+    _check_k(k)
     normal = materialize(normal_chunks(rows), "normal")
     n, avgdl = normal.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    asked = questions.select(F.col("id").cast("string"), t.normal_text("question").alias("normal")).where(F.length("normal") > 0)
-    out = None
-    block: list = []
+    asked = _asked(questions)
 
     def score(block: list) -> DataFrame:
-        counts = [Counter(_tokens(r["normal"])) for r in block]
-        vocab = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
+        vocab = {w: i for i, w in enumerate(sorted(set().union(*[_tokens(r["normal"]) for r in block])))}
 
         def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = np.zeros(len(vocab), np.int64)
@@ -111,10 +109,7 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 3, k1: float = 1.2, b
         for r in normal.select("normal").mapInPandas(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
             df[r["term"]] = r["df"]
         rare = np.log1p((n - df + 0.5) / (df + 0.5))
-        weights = np.zeros((len(vocab), len(block)))
-        for q, c in enumerate(counts):
-            for w, m in c.items():
-                weights[vocab[w], q] = m * rare[vocab[w]] * (k1 + 1)
+        weights = _weights(block, vocab, rare, k1)
         ids = np.array([r["id"] for r in block], object)
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,32 +123,114 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 3, k1: float = 1.2, b
                             if j is not None:
                                 tf[i, j] += 1
                     length = k1 * (1 - b + b * p["dl"].to_numpy() / max(avgdl, 1))
-                    full = np.round((tf / (tf + length[:, None])) @ weights, 9)
-                    hit = (tf > 0).astype(np.float32) @ (weights != 0).astype(np.float32) > 0
-                    names = p["chunk_id"].to_numpy()
-                    order = np.argsort(names)
-                    for q in range(len(block)):
-                        s = np.where(hit[:, q], full[:, q], -np.inf)[order]
-                        top = np.argsort(-s, kind="stable")[:k]
-                        top = top[np.isfinite(s[top])]
-                        if len(top):
-                            yield pd.DataFrame({"id": ids[q], "chunk_id": names[order][top], "score": s[top]})
-
-        return normal.mapInPandas(best, schema)
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUESTIONS:
-            out = score(block) if out is None else out.unionByName(score(block))
-            block = []
-    if block:
-        out = score(block) if out is None else out.unionByName(score(block))
-    if out is None:
-        out = spark.createDataFrame([], schema)
+                    yield from _best(tf / (tf + length[:, None]), weights, p["chunk_id"].to_numpy(), ids, k)
+
+        return normal.mapInPandas(best, HITS)
+
+    return _ranked(rows.sparkSession, [score(block) for block in _blocks(asked)], k)
+
+
+def _best(saturated: np.ndarray, weights: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k best of some chunks for each question, by a product of matrices."""
+    full = np.round(saturated @ weights, 9)
+    hit = (saturated > 0).astype(np.float32) @ (weights != 0).astype(np.float32) > 0
+    order = np.argsort(names)
+    for q in range(len(ids)):
+        s = np.where(hit[:, q], full[:, q], -np.inf)[order]
+        top = np.argsort(-s, kind="stable")[:k]
+        top = top[np.isfinite(s[top])]
+        if len(top):
+            yield pd.DataFrame({"id": ids[q], "chunk_id": names[order][top], "score": s[top]})
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.select(F.col("id").cast("string"), t.normal_text("question").alias("normal")).where(F.length("normal") > 0)
+
+
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """The questions, at most QUESTIONS of them on the driver at once."""
+    rows = asked.toLocalIterator()
+    while block := list(islice(rows, QUESTIONS)):
+        yield block
+
+
+def _weights(block: list, vocab: dict[str, int], rare: np.ndarray, k1: float) -> np.ndarray:
+    """Terms by questions: occurrences in the question times the term's weight."""
+    out = np.zeros((len(vocab), len(block)))
+    for q, r in enumerate(block):
+        for w, m in Counter(_tokens(r["normal"])).items():
+            out[vocab[w], q] = m * rare[vocab[w]] * (k1 + 1)
+    return out
+
+
+def _check_k(k: int) -> None:
+    if isinstance(k, bool) or not isinstance(k, int) or k < 0:
+        raise ValueError("k must be an integer of at least 0")
+
+
+def _ranked(spark: SparkSession, blocks: list[DataFrame], k: int) -> DataFrame:
+    out = reduce(DataFrame.unionByName, blocks) if blocks else spark.createDataFrame([], HITS)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
+class PreparedIndex:
+    """An index that is built once and searched often; its hits are those of ``search``.
+
+    Written are a row for each chunk, its terms with their saturated frequencies, and
+    the number of chunks of each term. A search reads the first table once for a block
+    of questions, without cutting any text, and of the second one the block's terms.
+    """
+
+    def __init__(self, rows: DataFrame, k1: float = 1.2, b: float = 0.75):
+        normal = materialize(normal_chunks(rows), "normal")
+        self.k1 = k1
+        self.n, avgdl = normal.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    p = whole.slice(at, 2048)
+                    counts = [Counter(_tokens(s)) for s in p.column("normal").to_pylist()]
+                    length = [k1 * (1 - b + b * dl / max(avgdl, 1)) for dl in p.column("dl").to_pylist()]
+                    part = [[f / (f + n) for f in c.values()] for c, n in zip(counts, length, strict=True)]
+                    yield pa.RecordBatch.from_arrays([p.column("chunk_id"), pa.array([[*c] for c in counts], pa.list_(pa.string())), pa.array(part, pa.list_(pa.float64()))], names=["chunk_id", "terms", "parts"])
+
+        self.chunks = materialize(normal.mapInArrow(index, "chunk_id string, terms array<string>, parts array<double>"), "index")
+        self.terms = materialize(term_statistics(normal).select("term", "df"), "terms")
+
+    def search(self, questions: DataFrame, k: int = 3) -> DataFrame:
+        _check_k(k)
+        return _ranked(self.chunks.sparkSession, [self._score(block, k) for block in _blocks(_asked(questions))], k)
+
+    def _score(self, block: list, k: int) -> DataFrame:
+        words = sorted(set().union(*[_tokens(r["normal"]) for r in block]))
+        vocab = {w: i for i, w in enumerate(words)}
+        df = np.zeros(len(vocab))
+        asked = self.terms.sparkSession.createDataFrame(pd.DataFrame({"term": words}))
+        for r in self.terms.join(asked, "term").collect():  # at most the block's terms
+            df[vocab[r["term"]]] = r["df"]
+        weights = _weights(block, vocab, np.log1p((self.n - df + 0.5) / (df + 0.5)), self.k1)
+        ids = np.array([r["id"] for r in block], object)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(words, pa.string())
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    p = whole.slice(at, 2048)
+                    terms = p.column("terms")
+                    col = pc.fill_null(pc.index_in(terms.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(p.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+                    part = p.column("parts").flatten().to_numpy()
+                    saturated = np.zeros((p.num_rows, len(words)))
+                    saturated[row[col >= 0], col[col >= 0]] = part[col >= 0]
+                    names = p.column("chunk_id").to_numpy(zero_copy_only=False)
+                    for top in _best(saturated, weights, names, ids, k):
+                        yield pa.RecordBatch.from_pandas(top, preserve_index=False)
+
+        return self.chunks.mapInArrow(best, HITS)
+
+
 def predictions(hits: DataFrame, rows: DataFrame, gold: DataFrame) -> DataFrame:
     """id, document_hit, span_hit, reciprocal_rank, oracle_span, failure, returned_chars
     of each question of ``gold`` (id, doc_id, answers: array of start, text)."""

@@ -23,6 +23,55 @@ def compare_hits(one: DataFrame, two: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("places"), F.count_if(~F.col("c0").eqNullSafe(F.col("c1"))).alias("other_chunk"), F.count_if(~close(F.col("s0"), F.col("s1"))).alias("not_close"), F.count_if(d > 0).alias("rounded"), F.max(d).alias("max_difference"))
 
 
+def compare_predictions(one: DataFrame, two: DataFrame, timing: tuple[str, ...] = ("seconds",)) -> DataFrame:
+    """One row: ids of either run, those that the other lacks, and those of which any
+    column but the timings differs. Nulls are equal."""
+    fields = [c for c in one.columns if c != "id" and c not in timing]
+    if sorted(fields) != sorted(c for c in two.columns if c != "id" and c not in timing):
+        raise ValueError("predictions with other columns")
+    x, y = (d.select("id", F.struct(*fields).alias(f"v{k}")) for k, d in enumerate((one, two)))
+    j = x.join(y, "id", "full_outer")
+    alone = F.col("v0").isNull() | F.col("v1").isNull()
+    return j.agg(F.count(F.lit(1)).alias("ids"), F.count_if(alone).alias("unmatched"), F.count_if(~alone & ~F.col("v0").eqNullSafe(F.col("v1"))).alias("different"))
+
+
+def recheck(claimed: DataFrame, derived: DataFrame, by: float = CLOSE) -> DataFrame:
+    """metric, claimed, derived, same for each column of two one-row tables of figures;
+    a null equals a null only."""
+    both = [c for c in derived.columns if c in claimed.columns]
+    wide = claimed.select(F.struct(*[F.col(c).cast("double").alias(c) for c in both]).alias("c")).crossJoin(derived.select(F.struct(*[F.col(c).cast("double").alias(c) for c in both]).alias("d")))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"c.{c}").alias("claimed"), F.col(f"d.{c}").alias("derived")) for c in both]))
+    same = close(F.col("claimed"), F.col("derived"), by) | (F.col("claimed").isNull() & F.col("derived").isNull())
+    return wide.select(each.alias("r")).select("r.*").withColumn("same", same)
+
+
+def zip_by_place(one: DataFrame, two: DataFrame, place: str = "place") -> DataFrame:
+    """Rows of the same place side by side, as structs one and two; the plan fails where
+    a place is on one side only, so nothing shifts unseen."""
+    x, y = one.select(place, F.struct(*one.columns).alias("one")), two.select(place, F.struct(*two.columns).alias("two"))
+    j = x.join(y, place, "full_outer")
+    lone = F.col("one").isNull() | F.col("two").isNull()
+    return j.select(F.when(lone, F.raise_error(F.lit("sequences differ in length")).cast("long")).otherwise(F.col(place)).cast(one.schema[place].dataType).alias(place), "one", "two")
+
+
+def throughput(runs: DataFrame) -> DataFrame:
+    """executor, median of rows a second, runs. runs: executor, rows, seconds."""
+    return runs.groupBy("executor").agg(F.median(F.col("rows") / F.col("seconds")).alias("rows_per_second"), F.count(F.lit(1)).alias("runs"))
+
+
+def valid_schedule(times: DataFrame, arms: tuple[str, ...]) -> DataFrame:
+    """index, round, valid: whether each arm ran once in the round, in places 0 and on,
+    and the first place went to another arm than in the round before. times: index,
+    round, place, arm."""
+    r = times.groupBy("index", "round").agg(F.array_sort(F.collect_list(F.struct("place", "arm"))).alias("ran"))
+    order = F.transform("ran", lambda x: x["arm"])
+    places = F.transform("ran", lambda x: x["place"].cast("int"))
+    r = r.withColumns({"order": order, "whole": (places == F.sequence(F.lit(0), F.lit(len(arms) - 1))) & (F.array_sort(order) == F.array(*[F.lit(a) for a in sorted(arms)]))})
+    before = F.lag(F.get("order", F.lit(0))).over(Window.partitionBy("index").orderBy("round"))
+    turned = F.coalesce(before != F.get("order", F.lit(0)), F.lit(True))
+    return r.select("index", "round", (F.col("whole") & turned).alias("valid"))
+
+
 def exactly_one(rows: DataFrame, of: str) -> DataFrame:
     """The only row; running the plan fails unless there is one."""
     two = rows.limit(2).agg(F.collect_list(F.struct(*rows.columns)).alias("r"))

@@ -6,6 +6,7 @@ literal records are added for rules that the tables never trigger.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from corvine.operators import families as fam
 from corvine.operators import qa, quality, verify
 from corvine.operators.containment import contained
 from corvine.operators import retrieval as ret
-from corvine.sources.records import exclude_seen, read_parquet_records, valid_references
-from corvine.session import materialize
+from corvine.plans.dataset import prepare
+from corvine.plans.lake import Lake, table_digest
+from corvine.sources.records import exclude_seen, read_jsonl, read_parquet_records, valid_references, write_jsonl
+from corvine.sources.results import append_results
+from corvine.session import materialize, shared_path
 
 EXTRA = [
     ("x:schema", "标题", None),
@@ -291,6 +295,13 @@ def bm25_top3_baseline(spark, sf_dir):
     return _arm(spark, sf_dir, 160)[1].withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_DOCS}, {_QUESTIONS}, {_BASE}, {_search('base', 'b')} {_HITS} bhits")
+def bm25_prepared(spark, sf_dir):
+    """The same hits from an index that is built once."""
+    index = ret.PreparedIndex(ret.chunks(_docs(spark, sf_dir), 160, 160))
+    return index.search(_questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_DOCS}, {_QUESTIONS}, {_OVER}, {_search('over', 'v')} {_HITS} vhits")
 def bm25_top3_overlap(spark, sf_dir):
     return _arm(spark, sf_dir, 96)[1].withColumn("score", F.round("score", 6))
@@ -408,6 +419,13 @@ def families(spark, sf_dir):
     return _families(spark, sf_dir)
 
 
+@query(f"""WITH RECURSIVE {_FAMILIES} SELECT (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM near) AS near_pairs, (SELECT count(*) FROM families) AS documents,
+  (SELECT count(DISTINCT family_id) FROM families) AS families, (SELECT max(n) FROM (SELECT count(*) AS n FROM families GROUP BY family_id)) AS largest""")
+def families_audit(spark, sf_dir):
+    docs, near = _near(spark, sf_dir)
+    return fam.audit(docs.select("doc_id", t.simhash_sha("text").alias("h")), near, _families(spark, sf_dir))
+
+
 _CHOSEN = f"WITH RECURSIVE {_FAMILIES}, chosen AS (SELECT family_id, arg_min(doc_id, sha256('\"question-v1:' || doc_id || '\"')) AS id FROM families GROUP BY family_id)"
 
 
@@ -452,6 +470,18 @@ def withheld_sources(spark, sf_dir):
     return _docs(spark, sf_dir).join(_gold(spark, sf_dir).select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
+@query(f"""WITH RECURSIVE {_FAMILIES}, asked AS (SELECT family_id, arg_min('q' || r.source_id, sha256('"question-v1:q' || r.source_id || '"')) AS id
+  FROM records r JOIN (SELECT DISTINCT source_id, doc_id FROM accepted) a USING (source_id) JOIN families USING (doc_id) WHERE NOT {_blank("substring(r.text, 1, 4)")} GROUP BY family_id)
+SELECT family_id, id, CASE WHEN r <= 40 THEN 'dev' ELSE 'holdout' END AS split FROM (SELECT *, row_number() OVER (ORDER BY sha256('"evidence-v1:' || family_id || '"')) AS r FROM asked) WHERE r <= 80""")
+def prepared_split(spark, sf_dir):
+    """The whole way from paragraphs, each with a question that its first characters
+    answer, to a split of 40 + 40 families; those of quarantined ones vanish."""
+    first = F.array(F.struct(F.lit(0).alias("start"), F.substring("text", 1, 4).alias("text")))
+    asked = records(spark, sf_dir).select("*", F.concat(F.lit("q"), "source_id").alias("id"), first.alias("answers"))
+    none = spark.createDataFrame([], "text string, title_key string")
+    return prepare(asked, none.select("text"), none.select("title_key"), 40, 40, t.simhash_sha("text")).split
+
+
 # ---- cited answers; the generator is a column expression ----------------------------
 
 _TEXT_HITS = f"WITH {_DOCS}, {_QUESTIONS}, {_BASE}, {_search('base', 'b')}, h AS (SELECT id, \"rank\", chunk_id, doc_id, \"start\", text FROM bhits JOIN base USING (chunk_id))"
@@ -475,6 +505,24 @@ def citation_binding(spark, sf_dir):
     return b.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "end")})
 
 
+def _cite_first(prompt: str) -> str:
+    """A generator: twelve characters of the first text of the evidence, in a fence."""
+    texts = json.loads(prompt.split("\n", 1)[1])["evidence"]
+    reply = {"answer": texts[0]["text"][10:22], "citation": 1} if texts else {"answer": qa.NONE, "citation": 0}
+    return f"```json\n{json.dumps(reply, ensure_ascii=False)}\n```"
+
+
+_SAID = "reply AS (SELECT q.id, coalesce(substring(text, 11, 12), 'NO_ANSWER') AS answer, CASE WHEN text IS NULL THEN 0 ELSE 1 END AS citation FROM questions q LEFT JOIN h ON h.id = q.id AND \"rank\" = 1)"
+
+
+@query(f"{_BOUND.replace(_REPLY, _SAID)} SELECT id, reason, CASE WHEN reason = 'quoted' THEN said ELSE 'NO_ANSWER' END AS answer, CASE WHEN reason = 'quoted' THEN chunk_id END AS chunk_id FROM bound")
+def generated_answers(spark, sf_dir):
+    """Evidence, prompt, generator, reply and quote of every question."""
+    hits, q = materialize(_hits_with_text(spark, sf_dir), "hits"), _questions(spark, sf_dir)
+    said = materialize(qa.generate(qa.evidence(q, hits, 3), _cite_first), "replies")
+    return qa.bind_citations(said, hits).select("id", "reason", "answer", "chunk_id")
+
+
 @query(f"""{_TEXT_HITS}, quotes AS (SELECT id, substring(text, 1, 4) AS quote FROM h WHERE "rank" = 1)
 SELECT id, doc_id, s AS "start", arg_max(chunk_id, "rank") AS chunk_id FROM (SELECT q.id, doc_id, chunk_id, "rank", CAST("start" + i - 1 AS BIGINT) AS s FROM quotes q JOIN h USING (id), unnest(range(1, length(text) - length(quote) + 2)) r(i) WHERE quote <> '' AND substring(text, i, length(quote)) = quote) GROUP BY ALL""")
 def span_occurrences(spark, sf_dir):
@@ -549,6 +597,49 @@ def compare_runs(spark, sf_dir):
     return verify.compare_hits(hits, two).withColumn("max_difference", F.round("max_difference", 9))
 
 
+@query(f"""{_BOTH_RUN} SELECT count(*) AS ids, count_if(b.id IS NULL OR o.id IS NULL) AS unmatched, count_if(b.id IS NOT NULL AND o.id IS NOT NULL AND (b.document_hit, b.span_hit, b.reciprocal_rank, b.oracle_span, b.failure) IS DISTINCT FROM (o.document_hit, o.span_hit, o.reciprocal_rank, o.oracle_span, o.failure)) AS different
+  FROM pb b FULL JOIN (SELECT * FROM po WHERE CAST(id AS BIGINT) % 6 <> 0) o ON b.id = o.id""")
+def compare_predicted(spark, sf_dir):
+    """Two runs of which one lacks questions; characters returned pose as timings."""
+    one, two = _predicted(spark, sf_dir, 160)[1], _predicted(spark, sf_dir, 96)[1]
+    return verify.compare_predictions(one, two.where(F.col("id").cast("long") % 6 != 0), ("returned_chars",))
+
+
+_RATES = ("n", "document_recall_at3", "span_hit_at3", "mrr_at3", "oracle_span_coverage")
+
+
+@query(f"{_BASE_RUN}, m AS ({_METRICS} pb) " + " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) {'+ 0.5' if c == 'mrr_at3' else ''} AS claimed, CAST({c} AS DOUBLE) AS derived, {c != 'mrr_at3'} AS same FROM m" for c in _RATES))
+def recheck_metrics(spark, sf_dir):
+    """Figures, one of them false, against those that the predictions give."""
+    true = materialize(ret.metrics(_predicted(spark, sf_dir, 160)[1]), "metrics")
+    return verify.recheck(true.withColumn("mrr_at3", F.col("mrr_at3") + 0.5), true)
+
+
+@query('SELECT n_nationkey AS place, n_name AS "name", n_regionkey AS region FROM nation')
+def zipped(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumnRenamed("n_nationkey", "place")
+    z = verify.zip_by_place(n.select("place", "n_name"), n.select("place", "n_regionkey"))
+    return z.select("place", F.col("one.n_name").alias("name"), F.col("two.n_regionkey").alias("region"))
+
+
+@query("SELECT lang AS executor, median(n_chars / (doc_id % 7 + 1)) AS rows_per_second, count(*) AS runs FROM documents GROUP BY lang")
+def throughput(spark, sf_dir):
+    """Lengths and ids stand in for rows and seconds."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return verify.throughput(d.select(F.col("lang").alias("executor"), F.col("n_chars").alias("rows"), (F.col("doc_id") % 7 + 1).alias("seconds")))
+
+
+@query("""WITH t AS (SELECT id // 30 AS index, (id // 3) % 10 AS round, id % 3 AS place, (CASE WHEN (id // 3) % 10 = 7 THEN 0 ELSE id % 3 END + (id // 3) % 10 // 2) % 3 AS arm FROM range(60) r(id)),
+r AS (SELECT index, round, list(arm ORDER BY place) AS ran FROM t GROUP BY ALL)
+SELECT index, round, list_sort(ran) = [0, 1, 2] AND coalesce(lag(ran[1]) OVER (PARTITION BY index ORDER BY round) <> ran[1], true) AS valid FROM r""")
+def timing_schedule(spark, sf_dir):
+    """Rounds whose first arm moves on every second time only, and one of a single arm."""
+    turn = F.floor(F.col("id") / 3) % 10
+    arm = (F.when(turn == 7, 0).otherwise(F.col("id") % 3) + F.floor(turn / 2)) % 3
+    times = spark.range(60).select(F.floor(F.col("id") / 30).alias("index"), turn.alias("round"), (F.col("id") % 3).alias("place"), F.element_at(F.array(*map(F.lit, "abc")), (arm + 1).cast("int")).alias("arm"))
+    return verify.valid_schedule(times, ("a", "b", "c"))
+
+
 @query(f"""WITH {_QUESTIONS}, s AS (SELECT id, row_number() OVER (ORDER BY sha256('["arm-order","' || id || '"]')) - 1 AS place FROM questions QUALIFY place < 24)
 SELECT id, CAST(place AS INT) AS place, CAST(turn AS INT) AS turn, ['json', 'span', 'verified_span'][(place + turn) % 3 + 1] AS arm FROM s, range(3) t(turn)""")
 def arm_order(spark, sf_dir):
@@ -612,11 +703,62 @@ def corpus_counters(spark, sf_dir):
     return raw.crossJoin(left).crossJoin(bad).select("raw", (F.col("raw") - F.col("candidates")).alias("excluded"), "candidates", "invalid_references")
 
 
+# ---- the lake and the JSON sources, in the shared folder -----------------------------
+
+
+def _lake(spark: SparkSession) -> Lake:
+    return Lake(spark, shared_path(spark, "lake").removeprefix("file://"))
+
+
+_PLAIN = f"UNION ALL SELECT * FROM (VALUES {_EXTRA_SQL}) v(source_id, title, text)"
+
+
+@query(f"WITH {_DOCS.replace(_PLAIN, '')} SELECT doc_id, title, title_key, text FROM docs")
+def lake_documents(spark, sf_dir):
+    """A version's documents, verified, after it was published."""
+    lake = _lake(spark)
+    return lake.read(lake.publish(read_parquet_records(spark, f"{sf_dir}/documents.parquet"))["version"])
+
+
+_COUNTED = "count(*) AS input, count_if(reason IS NULL) AS accepted_rows, count(DISTINCT CASE WHEN reason IS NULL THEN text END) AS documents, count_if(reason IS NOT NULL) AS quarantined FROM flagged"
+
+
+@query(f"WITH {_FLAGGED.replace(_PLAIN, '')}, c AS (SELECT false AS child, {_COUNTED} WHERE CAST(source_id AS BIGINT) % 2 = 0 UNION ALL SELECT true, {_COUNTED}) SELECT *, accepted_rows - documents AS duplicate_rows FROM c")
+def lake_append(spark, sf_dir):
+    """Half of the records, then all of them as its child; publishing again adds none."""
+    lake, rows = _lake(spark), read_parquet_records(spark, f"{sf_dir}/documents.parquet")
+    half = lake.publish(rows.where(F.col("source_id").cast("long") % 2 == 0))["version"]
+    whole = lake.publish(rows, half)
+    if lake.publish(rows, half) != {"version": whole["version"], "reused_snapshot": True, "resumed_shards": 0, "processed_shards": 0}:
+        raise ValueError("publishing again made another version")
+    return lake.versions().select(F.col("parent").isNotNull().alias("child"), "input", "accepted_rows", "documents", "quarantined", "duplicate_rows")
+
+
+@query(f"WITH {_ACCEPTED.replace(_PLAIN, '')} SELECT DISTINCT doc_id, source_id FROM accepted")
+def lake_lineage(spark, sf_dir):
+    lake = _lake(spark)
+    return lake.lineage(lake.publish(read_parquet_records(spark, f"{sf_dir}/documents.parquet"))["version"]).select("doc_id", "source_id")
+
+
+@query(f"WITH {_RECORDS} SELECT coalesce(source_id, '') AS source_id, title, text FROM records")
+def jsonl_round_trip(spark, sf_dir):
+    path = shared_path(spark, "jsonl")
+    write_jsonl(records(spark, sf_dir), path, ["source_id", "text"])
+    return read_jsonl(spark, path).select("source_id", "title", "text")
+
+
+@query("SELECT lang AS arm, doc_id AS id, n_chars AS value FROM documents")
+def appended_results(spark, sf_dir):
+    """Even rows, then all: what is there isn't added again."""
+    path = shared_path(spark, "results")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("arm"), F.col("doc_id").alias("id"), F.col("n_chars").alias("value"))
+    append_results(rows.where("id % 2 = 0"), path)
+    return append_results(rows, path)
+
+
 @query("SELECT true AS same")
 def executor_parity(spark, sf_dir):
     """The documents' digest as they come and dealt to other partitions."""
-    from corvine.plans.lake import table_digest
-
     d = _docs(spark, sf_dir)
     same = table_digest(d) == table_digest(d.repartition(7))
     return spark.range(1).select(F.lit(same).alias("same"))

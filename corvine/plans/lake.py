@@ -12,6 +12,7 @@ import fcntl
 import hashlib
 import json
 import os
+import shutil
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -92,6 +93,25 @@ class Lake:
     def read(self, version: str, table: str = "documents") -> DataFrame:
         return self._read(self.snapshot(version) / table)
 
+    def lineage(self, version: str, doc_id: str | None = None) -> DataFrame:
+        """version, doc_id, source_id, title_key of a published version's documents."""
+        rows = self.read(version, "lineage").withColumn("version", F.lit(version))
+        return rows if doc_id is None else rows.where(F.col("doc_id") == doc_id)
+
+    def versions(self) -> DataFrame:
+        """version, parent and counts of all that is published."""
+        at = [json.loads((self.snapshot(p.stem) / "manifest.json").read_text()) for p in sorted((self.root / "catalog").glob("*.json"))]
+        names = ("input", "accepted_rows", "documents", "quarantined", "duplicate_rows")
+        rows = [(m["version"], m["identity"]["parent"], *[m["counts"][c] for c in names]) for m in at]
+        return self.spark.createDataFrame(rows, "version string, parent string, " + ", ".join(f"{c} long" for c in names))
+
+    def export(self, version: str, folder: str | Path) -> Path:
+        """A copy of a published version in a folder that doesn't exist yet, verified."""
+        target = Path(folder)
+        shutil.copytree(self.snapshot(version), target)
+        self.verify(target.resolve())
+        return target
+
     def _register(self, version: str) -> None:
         body = (self.root / "versions" / version / "manifest.json").read_bytes()
         atomic_json(self.root / "catalog" / f"{version}.json", {"version": version, "manifest": hashlib.sha256(body).hexdigest()})
@@ -125,6 +145,10 @@ class Lake:
     def publish(self, records: DataFrame, parent: str | None = None) -> dict:
         """Publish records (source_id, title, text) as a version; the same input gives
         the same version, and a version that exists is verified and returned."""
+        if missing := sorted({*quality.FIELDS} - {*records.columns}):
+            raise ValueError(f"records lack {', '.join(missing)}")
+        if parent is not None and not (isinstance(parent, str) and parent):
+            raise ValueError("parent must be the name of a version")
         flagged = quality.flag(records)
         if (bad := quality.source_conflicts(flagged).limit(1).collect()):
             raise ValueError(f"conflicting source_id: {bad[0]['source_id']}")
