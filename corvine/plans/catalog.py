@@ -393,7 +393,8 @@ near AS MATERIALIZED (SELECT a, b, round(j, 9) AS jaccard FROM (SELECT a, b, len
 
 def _near(spark, sf_dir):
     docs = materialize(_docs(spark, sf_dir), "docs")
-    return docs, materialize(fam.near_pairs(docs, docs.select("doc_id", t.simhash_sha("text").alias("h"))), "near")
+    hashed = materialize(docs.select("doc_id", t.simhash_sha("text").alias("h")), "hashes")
+    return docs, materialize(fam.near_pairs(docs, hashed), "near")
 
 
 @query(f"WITH {_DOCS}, {_HASHED}, {_NEAR} SELECT a, b, jaccard FROM near")
@@ -408,8 +409,8 @@ fams AS (SELECT root, sha256(CAST(to_json(list(doc_id ORDER BY doc_id)) AS VARCH
 families AS (SELECT doc_id, family_id FROM roots JOIN fams USING (root))"""
 
 
-def _families(spark, sf_dir):
-    docs, near = _near(spark, sf_dir)
+def _families(spark, sf_dir, found=None):
+    docs, near = found or _near(spark, sf_dir)
     edges = fam.title_edges(quality.lineage(_accepted(spark, sf_dir))).unionByName(near.select("a", "b"))
     return materialize(fam.families(docs, edges), "families")
 
@@ -422,8 +423,9 @@ def families(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_FAMILIES} SELECT (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM near) AS near_pairs, (SELECT count(*) FROM families) AS documents,
   (SELECT count(DISTINCT family_id) FROM families) AS families, (SELECT max(n) FROM (SELECT count(*) AS n FROM families GROUP BY family_id)) AS largest""")
 def families_audit(spark, sf_dir):
-    docs, near = _near(spark, sf_dir)
-    return fam.audit(docs.select("doc_id", t.simhash_sha("text").alias("h")), near, _families(spark, sf_dir))
+    found = docs, near = _near(spark, sf_dir)
+    hashed = materialize(docs.select("doc_id", t.simhash_sha("text").alias("h")), "hashes")
+    return fam.audit(hashed, near, _families(spark, sf_dir, found))
 
 
 _CHOSEN = f"WITH RECURSIVE {_FAMILIES}, chosen AS (SELECT family_id, arg_min(doc_id, sha256('\"question-v1:' || doc_id || '\"')) AS id FROM families GROUP BY family_id)"

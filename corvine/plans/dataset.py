@@ -50,3 +50,11 @@ def prepare(questions: DataFrame, seen_texts: DataFrame, seen_titles: DataFrame,
     if counts["question_families"] < dev + holdout:
         raise ValueError(f"{counts['question_families']} families with questions, {dev + holdout} wanted")
     return Prepared(docs, edges, of, materialize(fam.split_families(chosen, dev, holdout), "split"), invalid, counts)
+
+
+def with_probes(questions: DataFrame, probes: list[str]) -> DataFrame:
+    """id, question, answerable: the questions, and written ones that nothing answers,
+    under ids probe:0 and on."""
+    spark = questions.sparkSession
+    extra = spark.createDataFrame([(f"probe:{i}", q) for i, q in enumerate(probes)], "id string, question string")
+    return questions.select("id", "question", F.lit(True).alias("answerable")).unionByName(extra.withColumn("answerable", F.lit(False)))

@@ -12,6 +12,7 @@ import fcntl
 import hashlib
 import json
 import os
+import pkgutil
 import shutil
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from corvine.operators import quality
 from corvine.sources.records import atomic_json
 
-#: Changes whenever the rules do; part of every version and of every cached shard.
-OPERATOR = "quality-1"
+#: A digest of the rules' source; part of every version and of every cached shard.
+OPERATOR = hashlib.sha256(b"".join(pkgutil.get_data("corvine", name) or b"" for name in ("operators/quality.py", "functions/text.py"))).hexdigest()[:16]
 TABLES = ("documents", "lineage", "quarantine", "input_hashes")
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.sources.records import atomic_json
+
 
 def pinned_files(spark: SparkSession, digests: dict[str, str]) -> DataFrame:
     """path, length, sha256 of files whose SHA-256 is known; reading the plan fails at
@@ -20,6 +26,19 @@ def pinned_files(spark: SparkSession, digests: dict[str, str]) -> DataFrame:
     return out
 
 
+def freeze(path: str | Path, config: dict) -> str:
+    """The digest of a configuration, kept in a file beside it. A file that holds another
+    configuration, or one that was changed by hand, raises ValueError."""
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    frozen = {"config": config, "sha256": digest}
+    if Path(path).exists():
+        if json.loads(Path(path).read_text(encoding="utf-8")) != json.loads(json.dumps(frozen)):
+            raise ValueError("frozen with another configuration")
+    else:
+        atomic_json(path, frozen)
+    return digest
+
+
 def append_results(results: DataFrame, path: str, keys: tuple[str, ...] = ("arm", "id")) -> DataFrame:
     """Add the results whose keys the folder doesn't hold yet, as JSON lines, and return
     all it holds; a run that was broken off goes on where it stopped. Of rows with equal

@@ -11,10 +11,10 @@ from corvine import __main__ as cli
 from corvine.operators import families as fam
 from corvine.operators import qa, verify
 from corvine.operators import retrieval as ret
-from corvine.plans.dataset import prepare
+from corvine.plans.dataset import prepare, with_probes
 from corvine.plans.lake import Lake
 from corvine.sources.records import write_jsonl
-from corvine.sources.results import append_results, pinned_files, render_trace
+from corvine.sources.results import append_results, freeze, pinned_files, render_trace
 
 
 @pytest.mark.parametrize("bits", [1, 2, 3])
@@ -160,3 +160,15 @@ def test_answers_on_two_versions(spark):
     before = spark.createDataFrame([("1", "a", "quoted"), ("2", "b", "quoted")], kind)
     after = spark.createDataFrame([("1", "a", "quoted"), ("2", "c", "quoted"), ("3", "d", "quoted")], kind)
     assert {r["id"]: r["changed"] for r in qa.answer_changes(before, after).collect()} == {"1": False, "2": True, "3": True}
+
+
+def test_configurations_are_frozen_and_probes_added(spark, tmp_path):
+    at = tmp_path / "frozen.json"
+    assert freeze(at, {"k": 3, "name": "é"}) == freeze(at, {"name": "é", "k": 3})
+    with pytest.raises(ValueError):
+        freeze(at, {"k": 4, "name": "é"})
+    at.write_text(at.read_text().replace('"k": 3', '"k": 5'))
+    with pytest.raises(ValueError):
+        freeze(at, {"k": 5, "name": "é"})
+    asked = with_probes(spark.createDataFrame([("1", "where?")], "id string, question string"), ["who?", "when?"])
+    assert sorted((r["id"], r["answerable"]) for r in asked.collect()) == [("1", True), ("probe:0", False), ("probe:1", False)]
