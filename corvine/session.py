@@ -51,6 +51,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: How intermediate tables are written. Without Hadoop's native library a file system of
+#: scheme file starts a process to set permissions, several a file with checksum files
+#: beside the data, and each start holds a second image of the JVM for a moment. These
+#: tables are read back in the same run, so they need neither checksum files nor a marker
+#: of success; other schemes are as they were.
+INTERMEDIATE = {
+    "compression": "zstd",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
+
 def materialize(df: DataFrame, name: str = "table", batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -66,7 +79,7 @@ def materialize(df: DataFrame, name: str = "table", batch_rows: int | None = Non
     if batch_rows:
         spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**INTERMEDIATE).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
