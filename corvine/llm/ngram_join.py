@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.llm.workers import give_back
 from corvine.operators.components import join_labels
 from corvine.operators.skew import spread_join
 from corvine.session import materialize
@@ -155,6 +156,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
             c = at[i : i + (1 << 16)]
             none = pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.binary())
             yield pa.RecordBatch.from_arrays([*none, pa.array(c.astype(np.int32)), pa.array(cells[c])], names=names)
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, set binary, cell int, seen long")
 
@@ -186,6 +188,7 @@ def _prefixes(docs: DataFrame, n: int, share: tuple[int, int], counts) -> DataFr
                     odd = np.bincount((s & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "set", "tokens", "sketch"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, set binary, tokens array<long>, sketch array<long>")
 
@@ -230,6 +233,7 @@ class _Join:
                     ok.append(sx and sy and q * both >= p * (len(x) + len(y) - both))
                 keep = np.array(ok, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], names=["a", "b"])
+            give_back()
 
         new = materialize(self.with_texts(left).select("x", "y", "sx", "sy", "tx", "ty").mapInArrow(run, "a long, b long"), "links", BATCH)
         self.tested = self.tested.unionByName(left)

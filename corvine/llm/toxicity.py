@@ -9,15 +9,17 @@ training documents that the chain was not trained on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.labelled import held_out, sample_ids, training_labels
+from corvine.llm.workers import give_back
 
 #: Bounds of the training sample, by class: documents, and characters of their texts.
 #: The shortest texts are taken first where all would be more.
@@ -345,15 +347,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     return train(features, y, fold, 0.5 if seen is None else float(seen))
 
 
+def _runs(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    at, end, held = 0, 0, 0
+    for n in sizes:
+        end, held = end + 1, held + n
+        if held >= GROUP_BYTES:
+            yield at, end
+            at, held = end, 0
+    if at < end:
+        yield at, end
+
+
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= GROUP_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    return _runs(len(t or "") for t in texts)
 
 
 Span = tuple[int, int, float]
@@ -402,7 +408,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sp
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        score, found = judge(model, texts.to_pylist())
+        score, found, sizes = np.zeros(len(texts)), [], pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        # Strings and arrays of one group at a time, not of the whole batch.
+        for i, j in _runs(sizes):
+            score[i:j], spanned = judge(model, texts.slice(i, j - i).to_pylist())
+            found += spanned
+        give_back()
         cols = {"score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))}
         if spans:
             cols["toxic_spans"] = pa.array([[dict(zip(("start", "end", "marginal"), s, strict=True)) for s in x] for x in found], pa.list_(of_span))
