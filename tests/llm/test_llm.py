@@ -185,6 +185,17 @@ def test_toxicity_learns_scores_and_finds_spans(spark):
     assert scored.columns[-3:] == ["score", "predicted", "toxic_spans"] and scored.count() == d.count()
 
 
+def test_toxicity_of_a_batch_of_several_groups_is_that_of_each_text(spark):
+    texts, _, labels = toxic_set(spark)
+    model = toxicity.fit_toxicity(docs(spark, texts), labels)
+    long = "plain words and so on. " * (toxicity.GROUP_BYTES // 40)
+    some = [None, "", long, "a rotten one", long + " rotten", long * 3, "", "dreadful and rotten", None]
+    got = rows(toxicity.score_toxicity(docs(spark, some).coalesce(1), model, spans=True))
+    for i, t in enumerate(some):
+        score, spans = toxicity.judge(model, [t])
+        assert abs(got[i]["score"] - score[0]) < 1e-12 and [(s["start"], s["end"]) for s in got[i]["toxic_spans"]] == [x[:2] for x in spans[0]]
+
+
 def test_trained_operators_without_labels(spark):
     d, none = docs(spark, ["a b", None]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.toxicity_scores(d, none).collect()} == {0.5}
