@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from corvine.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from corvine.session import materialize
 
+#: Rows of a batch of texts and token ids: a batch is held in the JVM and in Python, and
+#: by this stage the JVM's heap has grown to what it may take.
+BATCH = 500
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger marks as toxic go.
@@ -72,8 +76,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids of each document."""
-    return bpe.token_digests(docs, with_ids=True)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids of each document. Written
+    here, as only the write can bound the batches."""
+    return materialize(bpe.token_digests(docs, with_ids=True), "encoded", BATCH)
 
 
 STAGES = [

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvine.llm.workers import give_back
+
 #: Texts above this many characters are encoded piece by piece, so that the library's
 #: working memory follows the piece and not the text.
 PIECE_CHARS = 1 << 16
@@ -136,6 +138,7 @@ def token_digests(docs: DataFrame, ranks_path: str | None = None, pattern: str |
                 ends = pa.array(list(itertools.accumulate(n, initial=0)), pa.int32())
                 cols.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(every) if every else pa.array([], pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=names_out)
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)

@@ -199,8 +199,11 @@ class _Join:
     def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, share: tuple[int, int]):
         self.docs, self.nodes, self.n, self.share = docs, nodes, n, share
         spark = docs.sparkSession
-        self.tested = spark.createDataFrame([], "x long, y long")
-        self.labels = spark.createDataFrame([], "node long, label long")
+        # Not from a Python list: even an empty one starts Python workers of another kind
+        # beside those of the join, which stay for a minute.
+        none = spark.range(0)
+        self.tested = none.select(F.col("id").alias("x"), F.col("id").alias("y"))
+        self.labels = none.select(F.col("id").alias("node"), F.col("id").alias("label"))
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """node, text of these nodes (column node), from the documents."""

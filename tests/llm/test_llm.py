@@ -712,3 +712,31 @@ def test_near_copies_are_judged_by_id_and_text(spark):
         assert got.columns == d.columns and sorted((tuple(r) for r in got.collect()), key=repr) == want
     same = corpus_pipeline.drop_near_copies(spark, d.where("doc_id = 4 or doc_id = 1"), "")
     assert sorted(tuple(r) for r in same.collect()) == [(1, a, "x"), (4, c, "y")]
+
+
+def test_pipeline_encodes_in_batches_of_bounded_rows(spark, monkeypatch):
+    """Batches of 10,000 texts, with their ids, made the last stage's workers large."""
+    import pyarrow as pa
+
+    def batches(df, with_ids):
+        def run(got):
+            for b in got:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([b.num_rows] * b.num_rows, pa.int64())], names=["doc_id", "of"])
+
+        return df.select("doc_id").mapInArrow(run, "doc_id long, of long")
+
+    monkeypatch.setattr(bpe, "token_digests", batches)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = corpus_pipeline.encode(spark, docs(spark, ["a b"] * 1201).coalesce(1), "").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1201))
+    assert max(r["of"] for r in got) <= 500 and spark.conf.get(key) == before
+
+
+def test_a_join_that_begins_has_no_table_made_by_python(spark):
+    """Those start a second kind of Python workers in each executor."""
+    nodes = spark.range(3).select(F.col("id").alias("node"))
+    j = ngram_join._Join(docs(spark, ["a"]), nodes, 5, (80, 100))
+    for t, columns in ((j.tested, ["x", "y"]), (j.labels, ["node", "label"])):
+        assert t.columns == columns and {k for _, k in t.dtypes} == {"bigint"} and t.count() == 0
+        assert "ExistingRDD" not in t._jdf.queryExecution().executedPlan().toString()
