@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, pairwise
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corvine.functions import text as t
+from corvine.functions.shingles import overlap
 from corvine.operators.components import connected_components
-from corvine.session import materialize
+from corvine.session import materialize, small_side
 
 BITS = 3
 JACCARD = 0.85
@@ -53,15 +57,21 @@ def near_candidates(hashed: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, hashed: DataFrame, least: float = JACCARD) -> DataFrame:
-    """a, b, jaccard of candidate pairs by their five-character shingles; shingles are
-    made for surviving candidates only."""
+    """a, b, jaccard of candidate pairs by their five-character shingles; only texts of
+    candidates meet, and shingles are made for those only."""
     c = materialize(near_candidates(hashed), "candidates")
-    texts = docs.select("doc_id", "text")
+    ids = materialize(c.select(F.col("a").alias("doc_id")).unionByName(c.select(F.col("b").alias("doc_id"))).distinct(), "copies")
+    texts = docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")
     p = c.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    p = p.select("a", "b", t.shingles("ta").alias("sa"), t.shingles("tb").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    j = both / (F.size("sa") + F.size("sb") - both)
-    return p.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sizes = [overlap(s, t) for s, t in zip(x.column("ta").to_pylist(), x.column("tb").to_pylist(), strict=True)]
+            j = pa.array([both / (m + n - both) for m, n, both in sizes], pa.float64())
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), j], names=["a", "b", "jaccard"])
+
+    schema = StructType([p.schema["a"], p.schema["b"], StructField("jaccard", DoubleType())])
+    return p.select("a", "b", "ta", "tb").mapInArrow(compare, schema).where(F.col("jaccard") >= least)
 
 
 def audit(hashed: DataFrame, near: DataFrame, of: DataFrame) -> DataFrame:

@@ -73,3 +73,19 @@ def test_rules_find_what_their_patterns_find(spark):
 
     slow = F.when(F.col("text").isNull(), "schema").when(F.regexp_replace("text", t.SPACE, "") == "", "empty").when(F.col("text").rlike(t.EMAIL) | F.col("text").rlike(t.PHONE), "suspected_contact_pattern")
     assert [r["reason"] for r in quality.flag(d).collect()] == [r["x"] for r in d.select(slow.alias("x")).collect()]
+
+
+@pytest.mark.parametrize("kind", ["sha256", "blake2b"])
+def test_simhash_of_arrays_is_that_of_each_text(kind, monkeypatch):
+    import pyarrow as pa
+
+    from corvine.functions import shingles as sh
+
+    monkeypatch.setattr(sh, "CHARS", 3000)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))  # more characters than a worker numbers
+    texts = ["", "a", "abcd", "abcde", None, "ab\0" * 300, wide, "😀ß" * 700, wide[:4000], wide[1000:], "x" * 3000]
+    assert sh.simhash_all(pa.array(texts), kind, lambda s: t._simhash(s, kind)) == [t._simhash(s, kind) for s in texts]
+    grams = lambda s: {s} if len(s) < 5 else {s[i : i + 5] for i in range(len(s) - 4)}
+    for a in filter(None, texts):
+        for b in ("", wide, "abcdx", texts[7]):
+            assert sh.overlap(a, b) == (len(grams(a)), len(grams(b)), len(grams(a) & grams(b)))
