@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.operators import quality
+from corvine.session import materialize
 from corvine.sources.records import atomic_json
 
 #: A digest of the rules' source; part of every version and of every cached shard.
@@ -65,8 +66,8 @@ class Lake:
     def _read(self, path: Path) -> DataFrame:
         return self.spark.read.parquet(_uri(path))
 
-    def verify(self, folder: Path) -> dict:
-        """The manifest, if the folder holds exactly its tables with their digests."""
+    def _manifest(self, folder: Path) -> dict:
+        """The manifest, if the folder holds its tables and nothing else."""
         at = folder / "manifest.json"
         if at.is_symlink() or not at.is_file():
             raise ValueError("a snapshot's manifest must be a regular file")
@@ -75,19 +76,31 @@ class Lake:
             raise ValueError("snapshot with missing or unknown tables")
         if manifest.get("version") != _version(manifest["identity"]):
             raise ValueError("snapshot's version isn't that of its identity")
+        if any((folder / name).is_symlink() for name in TABLES):
+            raise ValueError("snapshot with a table elsewhere")
+        return manifest
+
+    def verify(self, folder: Path) -> dict:
+        """The manifest, if the folder holds exactly its tables with their digests."""
+        manifest = self._manifest(folder)
         for name, digest in manifest["tables"].items():
-            if (folder / name).is_symlink() or table_digest(self._read(folder / name)) != digest:
+            if table_digest(self._read(folder / name)) != digest:
                 raise ValueError(f"snapshot checksum mismatch: {name}")
         return manifest
 
-    def snapshot(self, version: str) -> Path:
-        """The verified folder of a published version."""
+    def _published(self, version: str) -> Path:
+        """The folder of a published version, if its manifest is the registered one."""
         entry = self.root / "catalog" / f"{version}.json"
         if not entry.is_file():
             raise KeyError("version not published")
         folder = self.root / "versions" / version
         if hashlib.sha256((folder / "manifest.json").read_bytes()).hexdigest() != json.loads(entry.read_text())["manifest"]:
             raise ValueError("catalog and manifest differ")
+        return folder
+
+    def snapshot(self, version: str) -> Path:
+        """The verified folder of a published version."""
+        folder = self._published(version)
         self.verify(folder)
         return folder
 
@@ -117,14 +130,14 @@ class Lake:
         body = (self.root / "versions" / version / "manifest.json").read_bytes()
         atomic_json(self.root / "catalog" / f"{version}.json", {"version": version, "manifest": hashlib.sha256(body).hexdigest()})
 
-    def _processed(self, flagged: DataFrame) -> tuple[DataFrame, int, int]:
-        """Flagged rows through the shard cache: a bucket (two hex digits of the record's
-        digest) whose records are unchanged is read, the others are written first. All
-        that is read must be the rows that went in."""
+    def _processed(self, flagged: DataFrame, hashes: DataFrame) -> tuple[DataFrame, int, int]:
+        """Flagged rows, whose digests are given too, through the shard cache: a bucket
+        (two hex digits of the record's digest) whose records are unchanged is read, the
+        others are written first. All that is read must be the rows that went in."""
         b = flagged.withColumn("bucket", F.substring("record_hash", 1, 2))
         piece = lambda i: F.sum(F.conv(F.substring("record_hash", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
         # At most 256 rows.
-        keys = b.groupBy("bucket").agg(F.sha2(F.concat_ws(":", F.lit(OPERATOR), F.count(F.lit(1)), *[piece(i) for i in range(4)]), 256).alias("key")).collect()
+        keys = hashes.select("record_hash", F.substring("record_hash", 1, 2).alias("bucket")).groupBy("bucket").agg(F.sha2(F.concat_ws(":", F.lit(OPERATOR), F.count(F.lit(1)), *[piece(i) for i in range(4)]), 256).alias("key")).collect()
         names = {r["bucket"]: f"{r['bucket']}-{r['key'][:40]}" for r in keys}
         have = {p.name.removeprefix("shard=") for p in (self.root / "shards").iterdir() if (p / "done").is_file()}
         todo = sorted(x for x, n in names.items() if n not in have)
@@ -151,9 +164,11 @@ class Lake:
         if parent is not None and not (isinstance(parent, str) and parent):
             raise ValueError("parent must be the name of a version")
         flagged = quality.flag(records)
-        if (bad := quality.source_conflicts(flagged).limit(1).collect()):
+        # Digests read whole texts, so they are made once for all that needs only them.
+        narrow = materialize(flagged.select("source_id", "record_hash"), "hashes")
+        if (bad := quality.source_conflicts(narrow).limit(1).collect()):
             raise ValueError(f"conflicting source_id: {bad[0]['source_id']}")
-        hashes = flagged.select("record_hash")
+        hashes = narrow.select("record_hash")
         identity = {"input": table_digest(hashes), "operator": OPERATOR, "parent": parent}
         version = _version(identity)
         home, stage = self.root / "versions" / version, self.root / "staging" / version
@@ -164,20 +179,23 @@ class Lake:
                 if self.verify(home)["identity"] != identity:
                     raise ValueError("version of another identity")
                 if (self.root / "catalog" / f"{version}.json").is_file():
-                    self.snapshot(version)
+                    self._published(version)  # whose tables were verified just now
                 else:  # a writer ended between rename and registration
                     self._register(version)
                 return {"version": version, "reused_snapshot": True, "resumed_shards": 0, "processed_shards": 0}
             if stage.is_symlink() or (stage.exists() and {p.name for p in stage.iterdir()} - {*TABLES, "manifest.json"}) or any(p.is_symlink() for p in (stage.iterdir() if stage.exists() else ())):
                 raise ValueError("unknown files in the staging folder")
-            rows, resumed, processed = self._processed(flagged)
+            rows, resumed, processed = self._processed(flagged, hashes)
             good = quality.accepted(rows)
             tables = {"documents": quality.exact_dedup(good), "lineage": quality.lineage(good), "quarantine": quality.quarantined(rows), "input_hashes": rows.select("record_hash")}
             for name, df in tables.items():
                 df.write.mode("overwrite").option("compression", "zstd").parquet(_uri(stage / name))
-            counts = quality.manifest_counts(rows).first().asDict()
+            # Written documents are the distinct texts, so those aren't looked for again.
+            n = rows.agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("reason").isNull()).alias("accepted_rows")).first()
+            documents = self._read(stage / "documents").count()
+            counts = {**n.asDict(), "documents": documents, "quarantined": n["input"] - n["accepted_rows"], "duplicate_rows": n["accepted_rows"] - documents}
             atomic_json(stage / "manifest.json", {"version": version, "identity": identity, "counts": counts, "tables": {n: table_digest(self._read(stage / n)) for n in TABLES}})
-            self.verify(stage)
+            self._manifest(stage)  # digests are those of the files, read back just now
             os.rename(stage, home)
             self._register(version)
         return {"version": version, "reused_snapshot": False, "resumed_shards": resumed, "processed_shards": processed}

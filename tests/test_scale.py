@@ -89,3 +89,17 @@ def test_simhash_of_arrays_is_that_of_each_text(kind, monkeypatch):
     for a in filter(None, texts):
         for b in ("", wide, "abcdx", texts[7]):
             assert sh.overlap(a, b) == (len(grams(a)), len(grams(b)), len(grams(a) & grams(b)))
+
+
+def test_publishing_reads_each_table_once_for_its_digest_and_counts_documents(spark, tmp_path, monkeypatch):
+    from corvine.plans import lake as module
+
+    rows = spark.createDataFrame([(str(i), "t", f"text {i % 5}" if i else "a@b.cd") for i in range(12)], "source_id string, title string, text string")
+    made, digest = [], module.table_digest
+    monkeypatch.setattr(module, "table_digest", lambda d: made.append(d.columns) or digest(d))
+    lake = module.Lake(spark, tmp_path)
+    first = lake.publish(rows)
+    assert len(made) == 5  # the input's, and one a table
+    assert lake.publish(rows) == {**first, "reused_snapshot": True, "processed_shards": 0} and len(made) == 10
+    got = lake.versions().first().asDict()
+    assert {k: got[k] for k in ("input", "accepted_rows", "documents", "quarantined", "duplicate_rows")} == {"input": 12, "accepted_rows": 11, "documents": 5, "quarantined": 1, "duplicate_rows": 6}
